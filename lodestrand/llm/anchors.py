@@ -34,8 +34,8 @@ NULL_ID = -(1 << 63)
 #: Tokens whose hashes are held at once.
 CHUNK = 1 << 19
 PLACE_BITS = 20
-#: Windows that `resolve` compares at once.
-MOST_WINDOWS = 1 << 20
+#: Suffixes of different kinds whose windows `resolve` compares at once.
+MOST_KINDS = 1 << 13
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -160,7 +160,7 @@ class Unit:
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, key and hash, dealt by key: the one shuffle of texts, which both joins below share."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text).alias("hash"))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), (F.xxhash64(text).bitwiseAND(0x7FFFFFFF)).cast("int").alias("hash"))
     return rows.repartition(spread(docs), "key")
 
 
@@ -245,91 +245,109 @@ def suffixes(texts: DataFrame, places: DataFrame, unit: Unit) -> DataFrame:
                     starts += a
                 yield {"head": heads, "tail": tails, "left": lefts, "key": keys, "hash": hashes, "start": starts}
 
-    return map_batches(rows, T._parse_datatype_string("head binary, tail binary, left binary, key long, hash long, start long"), cut)
+    return map_batches(rows, T._parse_datatype_string("head binary, tail binary, left binary, key long, hash int, start long"), cut)
 
 
-def window_hashes(unit: Unit, heads: list[bytes], tails: list[bytes], lefts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the spans: its span's number, its start there, and two hashes."""
-    join = b" ".join if unit.words else b"".join
-    spans = [join([x for x in parts if x]) for parts in zip(lefts, heads, tails)]
-    offsets = np.concatenate(([0], np.cumsum([len(s) for s in spans]))).astype(np.int64)
-    data = np.frombuffer(b"".join(spans), np.uint8)
-    out = []
-    for base in BASES:
-        values, first = unit.values(data, offsets, base)
-        out.append(run_hashes(prefix_sums(values, base), base, unit.window) if len(values) >= unit.window else np.zeros(0, U64))
-    n = np.diff(first) - unit.window + 1
-    span = np.repeat(np.arange(len(spans)), n)
-    start = np.arange(len(span)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-    at = first[:-1][span] + start
-    return span, start, out[0][at], out[1][at]
+def kinds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the number of its kind (equal head, tail and left), and one suffix of each kind."""
+    code = np.zeros(table.num_rows, np.int64)
+    for i in range(3):
+        coded = table.column(i).combine_chunks().dictionary_encode()
+        code = code * len(coded.dictionary) + coded.indices.to_numpy()
+        if i:  # numbers stay small
+            code = np.unique(code, return_inverse=True)[1].ravel()
+    _, first, kind = np.unique(code, return_index=True, return_inverse=True)
+    return kind.ravel(), first
 
 
-FOUND = "key long, hash long, start long, length int, w1 long, w2 long"
+FOUND = "to long, key long, hash int, start long, length int, w1 long, w2 long"
 
 
 def resolve(rows: DataFrame, unit: Unit, keep_first: bool, classes: Callable) -> DataFrame:
     """Of each partition of suffixes: repeated spans (length > 0), and windows that must be compared across partitions (length 0).
 
-    classes(heads, tails, lefts, order): sorts or groups a partition's suffixes and gives their order, the number of each
-    one's class (equal heads) and of its kind (equal head, tail and left), in that order; each kind's earliest comes first.
+    classes(table): for each suffix the number of its kind (equal head, tail and left) and of its class (equal heads), and
+    the classes that the least and the greatest suffix are in.
     """
     window = unit.window
 
     def work(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        table = table.combine_chunks()
-        heads, tails, lefts = (table.column(i).to_pylist() for i in range(3))
+        table = pa.Table.from_batches(batches).combine_chunks()
+        del batches
+        kind, group, low, high = classes(table)
         key, h, start = (table.column(i).to_numpy() for i in range(3, 6))
-        order, group, kind, low, high = classes(table, heads, tails, lefts, key, h, start)
-        key, h, start, group, kind = key[order], h[order], start[order], group[order], kind[order]
-        length = (np.array([len(x) for x in heads]) + [len(x) for x in tails] + [len(x) for x in lefts])[order] if not unit.words else np.array([_span_words(a, b, c) for a, b, c in zip(heads, tails, lefts)])[order]
+        order = np.lexsort((start, h, key, kind))
+        key, h, start, kind, group = key[order], h[order], start[order], kind[order], group[order]
         fresh = np.concatenate(([True], kind[1:] != kind[:-1]))
-        alone = fresh & np.concatenate((fresh[1:], [True]))
-        gone = ~fresh if keep_first else ~alone
-        yield spans(key[gone], h[gone], start[gone], length[gone])
+        gone = ~fresh if keep_first else ~(fresh & np.concatenate((fresh[1:], [True])))
+        rows_gone = order[gone]
+        yield spans(key[gone], h[gone], start[gone], span_lengths(unit, table.select([0, 1, 2]).take(pa.array(rows_gone))))
         # classes of several kinds: their windows differ in part; so may those of a class that goes on elsewhere
-        open_ = np.isin(group, [low, high])
+        open_ = (group == low) | (group == high)
         kinds = np.bincount(group[fresh], minlength=int(group.max()) + 1)
         left = np.flatnonzero(fresh & (open_ | (kinds[group] > 1)))
+        left = left[np.argsort(group[left], kind="stable")]
         at = 0
         while at < len(left):
-            to = at
-            total = 0
-            while to < len(left) and (total < MOST_WINDOWS or group[left[to]] == group[left[to - 1]] and not open_[left[to]]):
-                total += int(length[left[to]]) - window + 1
-                to += 1
+            to = min(len(left), at + MOST_KINDS)
+            while to < len(left) and group[left[to]] == group[left[to - 1]] and not open_[left[to]]:
+                to += 1  # a class that isn't open is met at once
             some = left[at:to]
             at = to
-            pick = order[some].tolist()
-            span, inside, w1, w2 = window_hashes(unit, [heads[i] for i in pick], [tails[i] for i in pick], [lefts[i] for i in pick])
+            span, inside, w1, w2 = window_hashes(unit, table.select([0, 1, 2]).take(pa.array(order[some])))
             here = some[span]
             places = start[here] + inside
-            apart = open_[here]
+            # the order of rows stands for that of key, hash and start only within a kind
+            by = np.lexsort((places, h[here], key[here], w2, w1))
+            here, places, w1, w2 = here[by], places[by], w1[by], w2[by]
+            new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+            hit = ~new if keep_first else ~(new & np.concatenate((new[1:], [True])))
+            yield spans(*runs(key[here][hit], h[here][hit], places[hit], window))
+            apart = new & open_[here]  # the earliest of each window here: what equals it here is known
             if apart.any():
-                n = int(apart.sum())
-                yield {"key": key[here][apart], "hash": h[here][apart], "start": places[apart], "length": np.zeros(n, np.int32), "w1": w1[apart].view(np.int64), "w2": w2[apart].view(np.int64)}
-            own = ~apart
-            if own.any():
-                here, places, w1, w2 = here[own], places[own], w1[own], w2[own]
-                by = np.lexsort((places, h[here], key[here], w2, w1))
-                new = np.concatenate(([True], (w1[by][1:] != w1[by][:-1]) | (w2[by][1:] != w2[by][:-1])))
-                single = new & np.concatenate((new[1:], [True]))
-                hit = by[~new if keep_first else ~single]
-                yield spans(*runs(key[here][hit], h[here][hit], places[hit], window))
+                far = here[apart]
+                yield {"to": w1[apart].view(np.int64), "key": key[far], "hash": h[far], "start": places[apart], "length": np.zeros(len(far), np.int32), "w1": w1[apart].view(np.int64), "w2": w2[apart].view(np.int64)}
 
     return map_batches(rows, T._parse_datatype_string(FOUND), work)
 
 
-def _span_words(head: bytes, tail: bytes, left: bytes) -> int:
-    return head.count(b" ") + 1 + (tail.count(b" ") + 1 if tail else 0) + (left.count(b" ") + 1 if left else 0)
+def _joined(unit: Unit, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """left, head and tail of each row as one span: bytes of all spans, and offsets."""
+    heads, tails, lefts = (c.to_pylist() for c in table.columns)
+    parts = zip(lefts, heads, tails)
+    spans_ = [b" ".join([x for x in p if x]) for p in parts] if unit.words else [b"".join(p) for p in parts]
+    return np.frombuffer(b"".join(spans_), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in spans_]))).astype(np.int64)
+
+
+def span_lengths(unit: Unit, table: pa.Table) -> np.ndarray:
+    """Tokens of each row's span."""
+    import pyarrow.compute as pc
+
+    if not unit.words:
+        return sum(pc.binary_length(c).to_numpy() for c in table.columns)
+    return np.diff(words_of(*_joined(unit, table))[2])
+
+
+def window_hashes(unit: Unit, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the spans: its span's number, its start there, and two hashes."""
+    data, offsets = _joined(unit, table)
+    out = []
+    for base in BASES:
+        values, first = unit.values(data, offsets, base)
+        out.append(run_hashes(prefix_sums(values, base), base, unit.window) if len(values) >= unit.window else np.zeros(0, U64))
+    n = np.diff(first) - unit.window + 1
+    span = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
+    at = first[:-1][span] + start
+    return span, start, out[0][at], out[1][at]
 
 
 def spans(key, h, start, length) -> dict:
     zero = np.zeros(len(key), np.int64)
-    return {"key": key, "hash": h, "start": start, "length": np.asarray(length, np.int32), "w1": zero, "w2": zero}
+    return {"to": key, "key": key, "hash": h, "start": start, "length": np.asarray(length, np.int32), "w1": zero, "w2": zero}
 
 
 def runs(key, h, start, window: int) -> tuple[np.ndarray, ...]:
@@ -343,15 +361,34 @@ def runs(key, h, start, window: int) -> tuple[np.ndarray, ...]:
     return key[cut], h[cut], start[cut], start[last] - start[cut] + window
 
 
-def across(found: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
-    """Spans (key, hash, start, length) of the windows that are compared by content over all partitions."""
-    windows = found.where("length = 0").select("key", "hash", "start", "w1", "w2")
-    place = F.struct("key", "hash", "start")
-    by = windows.groupBy(F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
-    both = windows.join(by, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")))
-    if keep_first:
-        both = both.where(place > F.col("least"))
-    return both.select("key", "hash", "start", F.lit(unit.window).alias("length"))
+SPAN = "key long, hash int, start long, length int"
+
+
+def across(found: DataFrame, unit: Unit, keep_first: bool, parts: int) -> DataFrame:
+    """All repeated spans (key, hash, start, length): those found, and those of windows that partitions have in common.
+
+    A partition sends a window once at most, so a window has no more rows than there are partitions.
+    """
+    names = ("key", "hash", "start", "length")
+
+    def meet(batches):
+        held = []
+        for batch in batches:
+            length = batch.column(4).to_numpy()
+            whole = batch.filter(pa.array(length > 0))
+            if whole.num_rows:
+                yield {n: whole.column(i + 1) for i, n in enumerate(names)}
+            if whole.num_rows < batch.num_rows:
+                held.append(batch.filter(pa.array(length == 0)))
+        if held:
+            key, h, start, _, w1, w2 = (c.to_numpy() for c in pa.Table.from_batches(held).columns[1:])
+            by = np.lexsort((start, h, key, w2, w1))
+            new = np.concatenate(([True], (w1[by][1:] != w1[by][:-1]) | (w2[by][1:] != w2[by][:-1])))
+            hit = by[~new if keep_first else ~(new & np.concatenate((new[1:], [True])))]
+            key, h, start, length = runs(key[hit], h[hit], start[hit], unit.window)
+            yield {"key": key, "hash": h, "start": start, "length": length.astype(np.int32)}
+
+    return map_batches(found.repartition(parts, "to"), T._parse_datatype_string(SPAN), meet)
 
 
 def marked(docs: DataFrame, unit: Unit, keep_first: bool, classes: Callable) -> DataFrame:
@@ -359,10 +396,9 @@ def marked(docs: DataFrame, unit: Unit, keep_first: bool, classes: Callable) ->
     parts = spread(docs)
     texts = keyed(docs)
     rows = suffixes(texts, repeated(docs, unit, parts), unit)
-    rows = rows.repartitionByRange(parts, "head", "tail", "left", "key", "hash", "start")
-    found = resolve(rows, unit, keep_first, classes)
-    inside = found.where("length > 0").select("key", "hash", "start", "length")
-    marks = inside.unionByName(across(found, unit, keep_first)).groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("hash", "start", "length")).alias("marks"))
+    rows = rows.repartitionByRange(2 * parts, "head", "tail", "left", "key", "hash", "start")
+    found = across(resolve(rows, unit, keep_first, classes), unit, keep_first, parts)
+    marks = found.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("hash", "start", "length")).alias("marks"))
     return texts.join(marks, texts["key"] == F.col("k"), "left").select("doc_id", "text", "key", "hash", "marks")
 
 

@@ -3,7 +3,7 @@
 See anchors.py for how suffixes are chosen and dealt: the splitters, sampled from the suffixes and as long as is needed
 to divide them, are the variable-length prefixes, and a partition is a group that fits in memory. Its suffixes are
 arranged as trees below their first words (`head`): the tree's leaves are the distinct suffixes with what stands before
-them, ordered by dense ranks of head, tail and left. A leaf met twice is a maximal repeat that covers its whole span. Below
+them. A leaf met twice is a maximal repeat that covers its whole span. Below
 a head with several leaves, nodes `window` words deep are found from each window's start; those reached more than once
 are the deep internal nodes.
 """
@@ -14,36 +14,26 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .anchors import Unit, covered, marked, words_of
+from .anchors import Unit, covered, kinds, marked, words_of
 from .common import WORD, map_batches, slices, utf8
 
 WINDOW = 35
-RUN = 10
+RUN = 8
 
 
-def ranks(column) -> np.ndarray:
-    """Dense ranks of binary values in the order of their bytes."""
-    coded = pc.dictionary_encode(column.combine_chunks() if hasattr(column, "combine_chunks") else column)
-    coded = coded.combine_chunks() if hasattr(coded, "combine_chunks") else coded
-    order = pc.sort_indices(coded.dictionary).to_numpy()
+def _trees(table):
+    leaf, first = kinds(table)
+    heads = pc.dictionary_encode(table.column(0).combine_chunks().take(pa.array(first)))
+    order = pc.sort_indices(heads.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return rank[coded.indices.to_numpy()]
-
-
-def _trees(table, heads, tails, lefts, key, h, start):
-    head, tail, left = ranks(table.column(0)), ranks(table.column(1)), ranks(table.column(2))
-    order = np.lexsort((start, h, key, left, tail, head))
-    fresh = np.zeros(len(order), bool)
-    for x in (head, tail, left):
-        fresh[1:] |= x[order][1:] != x[order][:-1]
-    leaf = np.empty(len(order), np.int64)
-    leaf[order] = np.cumsum(fresh)
-    return order, head, leaf, head[order[0]], head[order[-1]]
+    head = rank[heads.indices.to_numpy()]
+    return leaf, head[leaf], 0, len(order) - 1
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:

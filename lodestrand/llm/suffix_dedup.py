@@ -10,14 +10,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .anchors import Unit, covered, marked
+from .anchors import Unit, covered, kinds, marked
 from .common import map_batches, slices, utf8
 
 WINDOW = 100
-RUN = 32
+RUN = 24
 
 
 def characters(strings: list[bytes], width: int) -> list[np.ndarray]:
@@ -52,17 +53,16 @@ def multikey_sort(columns: list[np.ndarray], marks: tuple[int, ...]) -> tuple[np
 
 
 def _classes(run: int):
-    def classes(table, heads, tails, lefts, key, h, start):
-        width = max(map(len, tails), default=0), max(map(len, lefts), default=0)
-        head, tail, left = characters(heads, run)[:-1], characters(tails, width[0]), characters(lefts, width[1])
-        content = [*head, *tail, *left]
-        signed = [x.astype(np.int64) for x in (key, h, start)]
-        order, (group, kind) = multikey_sort([*content, *signed], (len(head), len(content)))
-        # back to rows, as the caller puts them in order
-        by_row = [np.empty_like(x) for x in (group, kind)]
-        for x, sorted_ in zip(by_row, (group, kind)):
-            x[order] = sorted_
-        return order, *by_row, group[0], group[-1]
+    def classes(table):
+        kind, first = kinds(table)
+        distinct = table.select([0, 1, 2]).take(pa.array(first))
+        heads, tails, lefts = (c.to_pylist() for c in distinct.columns)
+        head = characters(heads, run)[:-1]
+        content = [*head, *characters(tails, max(map(len, tails))), *characters(lefts, max(map(len, lefts)))]
+        order, (group, _) = multikey_sort(content, (len(head), len(content)))
+        rank, by_kind = np.empty_like(order), np.empty_like(order)
+        rank[order], by_kind[order] = np.arange(len(order)), group
+        return rank[kind], by_kind[kind], group[0], group[-1]
 
     return classes
 
