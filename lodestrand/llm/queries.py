@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, mixing, prefix_trees, quality, simhash, suffix_dedup, toxicity
+from . import bpe, digest, mixing, pii, prefix_trees, quality, simhash, suffix_dedup, toxicity
 from .common import table
 
 BASE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_outside")
@@ -37,6 +37,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_digest": op2_digest, "op3_mix": op3_mix, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_prefix_trees": op10_prefix_trees}
+    return {"op2_digest": op2_digest, "op3_mix": op3_mix, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_prefix_trees": op10_prefix_trees}
 
 
 def oracle_sql() -> dict[str, str]:
