@@ -142,7 +142,7 @@ def chained(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 more = batch.filter(pa.array(is_head))
                 yield {"range": np.array([before[int(r)] for r in at[is_head]], np.int32), "extra": np.ones(more.num_rows, bool), "doc_id": more.column(0), "text": more.column(1)}
 
-    ordered = map_batches(docs, dealt, deal).repartition(parts, "range").sortWithinPartitions("range", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    ordered = map_batches(docs, dealt, deal).repartitionById(parts, "range").sortWithinPartitions("range", "extra", F.col("doc_id").desc_nulls_last(), "text")
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")])
 
     def judge(batches):
