@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, mixing, pii, prefix_trees, quality, simhash, suffix_dedup, toxicity
+from . import bpe, digest, mixing, pii, prefix_trees, quality, simhash, suffix_dedup, toxicity, urls
 from .common import table
 
 BASE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_outside")
@@ -17,6 +17,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.chained(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_digest": op2_digest, "op3_mix": op3_mix, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_prefix_trees": op10_prefix_trees}
+    return {"op1_urls": op1_urls, "op2_digest": op2_digest, "op3_mix": op3_mix, "op4_bpe": op4_bpe, "op5_toxicity": op5_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op7_pii": op7_pii, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_prefix_trees": op10_prefix_trees}
 
 
 def oracle_sql() -> dict[str, str]:
