@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,9 +116,9 @@ def chosen(values: np.ndarray, offsets: np.ndarray, window: int, k: int) -> Iter
             yield home, at - begin, first - begin, last - begin, hashes[at]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of all rows, and each row's first word's number (one more entry at the end)."""
-    word = ~IS_BLANK[data]
+    word = ~blank[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
     before = np.concatenate(([False], word[:-1])) if len(word) else word
@@ -158,10 +158,10 @@ class Unit:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key and hash, dealt by key: the one shuffle of texts, which both joins below share."""
+    """doc_id, text, key and hash (a number that tells different texts of one key apart), dealt by key: the one shuffle of texts, which both joins below share."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), (F.xxhash64(text).bitwiseAND(0x7FFFFFFF)).cast("int").alias("hash"))
-    return rows.repartition(spread(docs), "key")
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key")).repartition(spread(docs), "key")
+    return rows.withColumn("hash", F.dense_rank().over(Window.partitionBy("key").orderBy(F.xxhash64("text"))))
 
 
 def repeated(docs: DataFrame, unit: Unit, parts: int) -> DataFrame:
@@ -260,7 +260,7 @@ def kinds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return kind.ravel(), first
 
 
-FOUND = "to long, key long, hash int, start long, length int, w1 long, w2 long"
+FOUND = "key long, hash int, start long, length int, w1 long, w2 long"
 
 
 def resolve(rows: DataFrame, unit: Unit, keep_first: bool, classes: Callable) -> DataFrame:
@@ -309,7 +309,7 @@ def resolve(rows: DataFrame, unit: Unit, keep_first: bool, classes: Callable) ->
             apart = new & open_[here]  # the earliest of each window here: what equals it here is known
             if apart.any():
                 far = here[apart]
-                yield {"to": w1[apart].view(np.int64), "key": key[far], "hash": h[far], "start": places[apart], "length": np.zeros(len(far), np.int32), "w1": w1[apart].view(np.int64), "w2": w2[apart].view(np.int64)}
+                yield {"key": key[far], "hash": h[far], "start": places[apart], "length": np.zeros(len(far), np.int32), "w1": w1[apart].view(np.int64), "w2": w2[apart].view(np.int64)}
 
     return map_batches(rows, T._parse_datatype_string(FOUND), work)
 
@@ -347,7 +347,7 @@ def window_hashes(unit: Unit, table: pa.Table) -> tuple[np.ndarray, np.ndarray,
 
 def spans(key, h, start, length) -> dict:
     zero = np.zeros(len(key), np.int64)
-    return {"to": key, "key": key, "hash": h, "start": start, "length": np.asarray(length, np.int32), "w1": zero, "w2": zero}
+    return {"key": key, "hash": h, "start": start, "length": np.asarray(length, np.int32), "w1": zero, "w2": zero}
 
 
 def runs(key, h, start, window: int) -> tuple[np.ndarray, ...]:
@@ -374,21 +374,21 @@ def across(found: DataFrame, unit: Unit, keep_first: bool, parts: int) -> DataFr
     def meet(batches):
         held = []
         for batch in batches:
-            length = batch.column(4).to_numpy()
+            length = batch.column(3).to_numpy()
             whole = batch.filter(pa.array(length > 0))
             if whole.num_rows:
-                yield {n: whole.column(i + 1) for i, n in enumerate(names)}
+                yield {n: whole.column(i) for i, n in enumerate(names)}
             if whole.num_rows < batch.num_rows:
                 held.append(batch.filter(pa.array(length == 0)))
         if held:
-            key, h, start, _, w1, w2 = (c.to_numpy() for c in pa.Table.from_batches(held).columns[1:])
+            key, h, start, _, w1, w2 = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
             by = np.lexsort((start, h, key, w2, w1))
             new = np.concatenate(([True], (w1[by][1:] != w1[by][:-1]) | (w2[by][1:] != w2[by][:-1])))
             hit = by[~new if keep_first else ~(new & np.concatenate((new[1:], [True])))]
             key, h, start, length = runs(key[hit], h[hit], start[hit], unit.window)
             yield {"key": key, "hash": h, "start": start, "length": length.astype(np.int32)}
 
-    return map_batches(found.repartition(parts, "to"), T._parse_datatype_string(SPAN), meet)
+    return map_batches(found.repartition(parts, F.when(F.col("length") > 0, F.col("key")).otherwise(F.col("w1"))), T._parse_datatype_string(SPAN), meet)
 
 
 def marked(docs: DataFrame, unit: Unit, keep_first: bool, classes: Callable) -> DataFrame:
