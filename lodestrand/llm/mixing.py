@@ -16,7 +16,7 @@ from .common import WORD, checkpoint
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows that one range of keys holds, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 2_000
 #: 15 hex digits of md5 are the key.
 KEY_BITS = 60
 
