@@ -22,11 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
-    sc = df.sparkSession.sparkContext
+    """Materialise df in the shared folder, which survives lost executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, by spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-"))
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def spread(df: DataFrame) -> int:
@@ -82,16 +88,17 @@ def map_batches(df: DataFrame, schema: T.StructType, run: Callable[[Iterable[pa.
 
 def per_text(df: DataFrame, fields: str, factory: Callable[[], Callable[[str], tuple]], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row for each of df: the columns `keep`, and those named in `fields` (DDL), which factory()(text) returns. A null text counts as empty."""
-    inputs = df.select(*keep, df[text].alias("__text"))
+    at = keep.index(text) if text in keep else len(keep)
+    inputs = df.select(*keep) if text in keep else df.select(*keep, df[text].alias("__text"))
     added = T._parse_datatype_string(fields)
     schema = T.StructType([*(f for f in inputs.schema if f.name != "__text"), *added])
-    names = added.names
+    names, inputs_text = added.names, inputs.columns[at]
 
     def run(batches):
         work = factory()
         for batch in batches:
-            for piece in slices(batch, "__text"):
-                rows = [work(t or "") for t in piece.column(piece.schema.get_field_index("__text")).to_pylist()]
+            for piece in slices(batch, inputs_text):
+                rows = [work(t or "") for t in piece.column(at).to_pylist()]
                 yield {**{k: piece.column(i) for i, k in enumerate(keep)}, **dict(zip(names, zip(*rows)))}
 
     return map_batches(inputs, schema, run)

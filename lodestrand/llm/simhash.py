@@ -1,7 +1,7 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Distinct fingerprints are dealt by blocks of bits: with radius + 1 blocks, two fingerprints within the radius agree in one
-block at least. Each bucket (a block and its value) is sorted by Gray rank, so that neighbours share most bits, and eight
+Distinct fingerprints are dealt by blocks of bits: of radius + 1 blocks, two fingerprints within the radius agree in one
+at least. Each bucket (a block and its value) is sorted by Gray rank, so that neighbours share most bits, and eight
 neighbours make a node, eight nodes one of the next level. A node keeps the bits that all below it share, as a mask and a
 pattern (held as the AND and the OR). Shared bits in which two nodes differ are differences of all pairs below; they only
 grow on the way down, so a pair of nodes beyond the radius is dropped with all below. Nodes whose fingerprints are all
@@ -10,10 +10,11 @@ linked already are dropped too, which keeps a dense group from being met pair by
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,14 +157,21 @@ class GrayForest:
         return [(level - 1, a[i : i + FRONTIER], b[i : i + FRONTIER]) for i in range(0, len(a), FRONTIER)]
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """Edges u, v over distinct fps(fp): for each bucket, each fingerprint and the first that it reaches there."""
-    blocks = blocks or radius + 1
-    if blocks <= radius:
-        raise ValueError("blocks must be over the radius")
+def linked(fps: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
+    """Edges u, v over distinct fps(fp): for each bucket, each fingerprint and the first that it reaches there.
+
+    The bits are cut into radius + agree blocks, of which `agree` at least are equal in two fingerprints within the radius:
+    each choice of so many blocks deals all fingerprints by their values. More than one keeps buckets small at a wide radius.
+    """
+    blocks = radius + agree
+    if not 1 <= blocks <= 64:
+        raise ValueError("radius + agree must be 1 to 64")
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    values = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - b), 64 - b + a).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    dealt = fps.select("fp", F.explode(F.array(*values)).alias("at")).select("at.block", "at.value", "fp")
+    choices = list(itertools.combinations(range(blocks), agree))
+    masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in chosen) for chosen in choices]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    values = [F.col("fp").bitwiseAND(F.lit(m)) for m in signed]
+    dealt = fps.select("fp", F.posexplode(F.array(*values)).alias("block", "value")).select("block", "value", "fp")
 
     def index(batches):
         rows = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
@@ -171,7 +179,8 @@ def linked(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> D
             return
         block, value, fp = map(np.concatenate, zip(*rows))
         bucket = np.unique(np.stack([block.astype(np.int64), value], axis=1), axis=0, return_inverse=True)[1].ravel()
-        shift = np.array([64 - b for b in cuts[1:]], U64)[block]  # the block's bits, which are equal, come first
+        # the last chosen block's bits, which are equal, come first
+        shift = np.array([64 - cuts[chosen[-1] + 1] for chosen in choices], U64)[block]
         forest = GrayForest(bucket, fp.view(U64), shift)
         label = forest.run(radius)
         hit = label != np.arange(len(label))
@@ -180,7 +189,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> D
     return map_batches(dealt.repartition(spread(dealt), "block", "value"), T._parse_datatype_string("u long, v long"), index)
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, agree: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links) for each row of docs(doc_id, text).
 
     Texts without words (null, empty) have fingerprint 0, and link as any other. Repeated rows each stay. A null doc_id is
@@ -188,13 +197,26 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame
     """
     prints = checkpoint(fingerprints(docs.select("doc_id", "text"), shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(linked(nodes.select("fp"), radius))
+    found = components(linked(nodes.select("fp"), radius, agree))
     nodes = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     table = nodes.join(least, "component").select(F.col("fp").alias("node"), "component_id")
     return prints.join(table, F.col("fp") == F.col("node"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: For near copies: word shingles, and the bits in which texts with a Jaccard likeness of 0.8 or more differ by most.
+NEAR_SHINGLE, NEAR_RADIUS, NEAR_AGREE = 5, 8, 3
+
+
+def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, agree: int = NEAR_AGREE) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their group; of rows that share it, the one with the least text. Rows without a doc_id stay."""
+    named = docs.where("doc_id is not null")
+    least = groups(named, shingle, radius, agree).where("doc_id = component_id").select(F.col("doc_id").alias("least")).distinct()
+    kept = named.join(least, F.col("doc_id") == F.col("least"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def brute_force(rows: list[tuple], shingle: int = 3, radius: int = RADIUS) -> list[tuple]:
     """What `groups` returns, from all pairs."""
     fingerprint = fingerprinter(shingle)
