@@ -157,8 +157,24 @@ class GrayForest:
         return [(level - 1, a[i : i + FRONTIER], b[i : i + FRONTIER]) for i in range(0, len(a), FRONTIER)]
 
 
+def reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the nodes 0..n-1 that each one reaches over edges a-b."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label, new)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def linked(fps: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
-    """Edges u, v over distinct fps(fp): for each bucket, each fingerprint and the first that it reaches there.
+    """Edges u, v over distinct fps(fp): for each partition of buckets, each fingerprint and the least that it reaches there.
 
     The bits are cut into radius + agree blocks, of which `agree` at least are equal in two fingerprints within the radius:
     each choice of so many blocks deals all fingerprints by their values. More than one keeps buckets small at a wide radius.
@@ -183,8 +199,10 @@ def linked(fps: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
         shift = np.array([64 - cuts[chosen[-1] + 1] for chosen in choices], U64)[block]
         forest = GrayForest(bucket, fp.view(U64), shift)
         label = forest.run(radius)
-        hit = label != np.arange(len(label))
-        yield {"u": forest.fps[hit].view(np.int64), "v": forest.fps[label[hit]].view(np.int64)}
+        nodes, at = np.unique(forest.fps.view(np.int64), return_inverse=True)
+        least = reachable(len(nodes), at, at[label])
+        hit = least != np.arange(len(nodes))
+        yield {"u": nodes[hit], "v": nodes[least[hit]]}
 
     return map_batches(dealt.repartition(spread(dealt), "block", "value"), T._parse_datatype_string("u long, v long"), index)
 
@@ -211,8 +229,8 @@ NEAR_SHINGLE, NEAR_RADIUS, NEAR_AGREE = 5, 8, 3
 def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, agree: int = NEAR_AGREE) -> DataFrame:
     """The rows of docs with the smallest doc_id of their group; of rows that share it, the one with the least text. Rows without a doc_id stay."""
     named = docs.where("doc_id is not null")
-    least = groups(named, shingle, radius, agree).where("doc_id = component_id").select(F.col("doc_id").alias("least")).distinct()
-    kept = named.join(least, F.col("doc_id") == F.col("least"), "left_semi")
+    least = groups(named, shingle, radius, agree).where("doc_id = component_id").select(F.col("doc_id").alias("__least")).distinct()
+    kept = named.join(least, F.col("doc_id") == F.col("__least"), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
