@@ -8,7 +8,7 @@ documents at the head of its key order, up to exactly the rest, are taken once m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint
@@ -84,19 +84,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix-1") -> DataFrame:
     """The mix itself, with the columns of docs: a document once for each whole time that it is taken, and the head of a text where a budget ends within it (n_chars follows the text)."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    same = ["doc_id", "source", "size"]
-    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in same], *[F.col(c).isNull() for c in same])
-    rows = docs.withColumn("size", size).withColumn("key", key)
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("text")))
-    taken = mix(docs, weights, max_epochs, seed).drop("key").withColumn("key", key)
-    taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.col("taken").desc()))).where("taken > 0").select(F.col("key").alias("k"), F.col("nth").alias("m"), "taken")
-    rows = rows.join(taken, (F.col("key") == F.col("k")) & (F.col("nth") == F.col("m")))
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
-    rows = rows.withColumn("whole", whole).withColumn("rest", rest).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole") + (F.col("rest") > 0).cast("int"))))
+
+    def named(size: Column) -> Column:
+        parts = [F.col("doc_id"), F.col("source"), size]
+        return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("")) for c in parts], *[c.isNull() for c in parts])
+
+    nth = lambda order: F.row_number().over(Window.partitionBy("__key").orderBy(order))
+    rows = docs.withColumn("__size", size).withColumn("__key", named(F.col("__size"))).withColumn("__nth", nth(F.col("text")))
+    taken = mix(docs, weights, max_epochs, seed).select(named(F.col("size")).alias("__key"), "taken")
+    taken = taken.withColumn("__m", nth(F.col("taken").desc())).where("taken > 0").select(F.col("__key").alias("__k"), "__m", F.col("taken").alias("__taken"))
+    rows = rows.join(taken, (F.col("__key") == F.col("__k")) & (F.col("__nth") == F.col("__m")))
+    rows = rows.withColumn("__whole", F.floor(F.col("__taken") / F.col("__size")).cast("int")).withColumn("__rest", (F.col("__taken") % F.col("__size")).cast("int"))
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__whole") + (F.col("__rest") > 0).cast("int"))))
     blank = WORD.replace("[^", "[").rstrip("+")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"{blank}*{WORD}"), F.lit(0)), F.lit(1), F.col("rest").cast("int")), "")
-    text = F.when(F.col("copy") > F.col("whole"), head).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"{blank}*{WORD}"), F.lit(0)), F.lit(1), F.col("__rest")), "")
+    rows = rows.withColumn("text", F.when(F.col("__copy") > F.col("__whole"), head).otherwise(F.col("text")))
     return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows).select(*docs.columns)
 
 
