@@ -7,7 +7,7 @@ and only suffixes that start at chosen places (about 2 in window - k + 2) need b
 1. `repeated`: hashes of the runs at chosen places are counted; those met once go. A hash that a batch holds several
    times is sent once, and the batch's other places need no count, so a very common passage isn't a hot key.
 2. `suffixes`: the rest are joined with their texts, which gives the suffix (`head`: the k tokens, `tail`: what follows
-   within the windows) and what stands before it (`left`).
+   within the windows) and what stands before it (`left`). A task sends equal ones' bytes once.
 3. Suffixes are range-partitioned by their bytes between sampled splitters (ties by document and place, so that equal
    suffixes divide as well), and `resolve` finds repeated windows in each partition. A class (suffixes with one head)
    that touches a partition's end may go on in the next: its windows are compared across partitions by `across`.
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,8 +182,8 @@ def repeated(docs: DataFrame, unit: Unit, parts: int) -> DataFrame:
                     sure = follows.copy()
                     sure[order[:-1]] |= same
                     where |= sure
-                    # those after the first are known to be repeated: any partition does
-                    h = np.where(follows, mix(where.astype(U64) * U64(BASES[1]) + keys[row].astype(U64)), h)
+                    # those after the first are known to be repeated: any partition does, the same one for a document's
+                    h = np.where(follows, mix(keys[row].astype(U64) + U64(BASES[1])), h)
                     yield {"h": h.view(np.int64), "key": keys[row], "where": where}
 
     def count(batches):
@@ -202,15 +203,50 @@ def repeated(docs: DataFrame, unit: Unit, parts: int) -> DataFrame:
     return found.groupBy(F.col("key").alias("k")).agg(F.collect_list("where").alias("places"))
 
 
-def suffixes(texts: DataFrame, places: DataFrame, unit: Unit) -> DataFrame:
-    """head, tail, left (binary; words are joined by one space), key, hash, start (token of the first window)."""
+#: Kinds of suffixes that a task remembers, to send each one's bytes once.
+MOST_KNOWN = 1 << 18
+SUFFIX = "head binary, tail binary, left binary, key long, hash int, start long, length int"
+
+
+class Known:
+    """What a task has sent: a suffix equal to an earlier one needs no bytes, as what becomes of it is known."""
+
+    def __init__(self, keep_first: bool):
+        self.keep_first, self.sent = keep_first, {}
+
+    def decided(self, head: bytes, tail: bytes, left: bytes, place: tuple[int, int, int]) -> list[tuple[int, int, int]] | None:
+        """None: send it. Else the places whose spans are repeated."""
+        digest = (xxhash.xxh3_128_digest(head + tail + left), len(head), len(left))
+        first = self.sent.get(digest)
+        if first is None:
+            if len(self.sent) >= MOST_KNOWN:
+                self.sent.clear()
+            self.sent[digest] = place
+            return None
+        if first is SEEN:
+            return [place]
+        if place == first:  # a repeated row
+            return []
+        if self.keep_first:
+            return [place] if place > first else None
+        self.sent[digest] = SEEN
+        return [first, place]
+
+
+SEEN = (1 << 63, 0, 0)
+
+
+def suffixes(texts: DataFrame, places: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
+    """head, tail, left (binary; words are joined by one space), key, hash, start (token of the first window), length 0; or, without bytes, a span that is known to be repeated, with its length in tokens."""
     rows = texts.join(places, texts["key"] == places["k"]).select("doc_id", "text", "key", "hash", "places")
     window, k = unit.window, unit.k
 
     def cut(batches):
+        known = Known(keep_first)
         for batch in batches:
             for piece in slices(batch):
-                heads, tails, lefts, keys, hashes, starts = [], [], [], [], [], []
+                out = {n: [] for n in ("head", "tail", "left", "key", "hash", "start", "length")}
+                add = [out[n].append for n in out]
                 wheres = piece.column(4)
                 bounds = wheres.offsets.to_numpy()
                 flat = wheres.values.to_numpy()
@@ -225,27 +261,24 @@ def suffixes(texts: DataFrame, places: DataFrame, unit: Unit) -> DataFrame:
                     size = int(number[i + 1] - number[i] if unit.words else offsets[i + 1] - offsets[i])
                     fits = (first >= 0) & (first + after + window <= size)
                     place, first, after = place[fits], first[fits], after[fits]
-                    p, a, z = place.tolist(), first.tolist(), (first + after + window).tolist()
                     if unit.words:
                         s, e = begin[number[i] : number[i + 1]], end[number[i] : number[i + 1]]
-                        lengths = e - s
-                        at = np.concatenate(([0], np.cumsum(lengths + 1)))
-                        text = b" ".join([raw[x:y] for x, y in zip(s.tolist(), e.tolist())])
-                        at = at.tolist()
-                        heads += [text[at[x] : at[x + k] - 1] for x in p]
-                        tails += [text[at[x + k] : at[y] - 1] if y > x + k else b"" for x, y in zip(p, z)]
-                        lefts += [text[at[y] : at[x] - 1] if x > y else b"" for x, y in zip(p, a)]
+                        at = np.concatenate(([0], np.cumsum(e - s + 1))).tolist()
+                        text, gap = b" ".join([raw[x:y] for x, y in zip(s.tolist(), e.tolist())]), 1
                     else:
-                        text = raw[offsets[i] : offsets[i + 1]]
-                        heads += [text[x : x + k] for x in p]
-                        tails += [text[x + k : y] for x, y in zip(p, z)]
-                        lefts += [text[y:x] for x, y in zip(p, a)]
-                    keys += [key] * len(p)
-                    hashes += [h] * len(p)
-                    starts += a
-                yield {"head": heads, "tail": tails, "left": lefts, "key": keys, "hash": hashes, "start": starts}
+                        at, text, gap = range(size + 1), raw[offsets[i] : offsets[i + 1]], 0
+                    for p, a, z in zip(place.tolist(), first.tolist(), (first + after + window).tolist()):
+                        head = text[at[p] : at[p + k] - gap]
+                        tail = text[at[p + k] : at[z] - gap] if z > p + k else b""
+                        left = text[at[a] : at[p] - gap] if p > a else b""
+                        gone = known.decided(head, tail, left, (key, h, a))
+                        values = [(head, tail, left, key, h, a, 0)] if gone is None else [(None, None, None, *q, z - a) for q in gone]
+                        for row in values:
+                            for put, value in zip(add, row):
+                                put(value)
+                yield out
 
-    return map_batches(rows, T._parse_datatype_string("head binary, tail binary, left binary, key long, hash int, start long"), cut)
+    return map_batches(rows, T._parse_datatype_string(SUFFIX), cut)
 
 
 def kinds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -272,15 +305,25 @@ def resolve(rows: DataFrame, unit: Unit, keep_first: bool, classes: Callable) ->
     window = unit.window
 
     def work(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        held = []
+        for batch in batches:
+            done = batch.filter(batch.column(0).is_null())
+            if done.num_rows:
+                yield spans(*(done.column(i).to_numpy() for i in range(3, 7)))
+            if done.num_rows < batch.num_rows:
+                held.append(batch.filter(batch.column(0).is_valid()))
+        if not held:
             return
-        table = pa.Table.from_batches(batches).combine_chunks()
-        del batches
+        table = pa.Table.from_batches(held).combine_chunks()
+        del held
         kind, group, low, high = classes(table)
         key, h, start = (table.column(i).to_numpy() for i in range(3, 6))
         order = np.lexsort((start, h, key, kind))
         key, h, start, kind, group = key[order], h[order], start[order], kind[order], group[order]
+        again = np.zeros(len(order), bool)  # repeated rows are one document
+        again[1:] = (kind[1:] == kind[:-1]) & (key[1:] == key[:-1]) & (h[1:] == h[:-1]) & (start[1:] == start[:-1])
+        if again.any():
+            order, key, h, start, kind, group = (x[~again] for x in (order, key, h, start, kind, group))
         fresh = np.concatenate(([True], kind[1:] != kind[:-1]))
         gone = ~fresh if keep_first else ~(fresh & np.concatenate((fresh[1:], [True])))
         rows_gone = order[gone]
@@ -395,7 +438,7 @@ def marked(docs: DataFrame, unit: Unit, keep_first: bool, classes: Callable) ->
     """doc_id, text, hash and marks (array of hash, start, length: spans of tokens in repeated windows; null: none) for each row of docs(doc_id, text)."""
     parts = spread(docs)
     texts = keyed(docs)
-    rows = suffixes(texts, repeated(docs, unit, parts), unit)
+    rows = suffixes(texts, repeated(docs, unit, parts), unit, keep_first)
     rows = rows.repartitionByRange(2 * parts, "head", "tail", "left", "key", "hash", "start")
     found = across(resolve(rows, unit, keep_first, classes), unit, keep_first, parts)
     marks = found.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("hash", "start", "length")).alias("marks"))
