@@ -43,7 +43,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         rows = from_arrays(spark.read.text(path, wholetext=True))
     else:
         raise ValueError("boundaries must be a .json or .jsonl file")
-    return rows.select(F.expr("assert_true(record is not null, 'invalid boundary')").alias("ok"), "record.*").drop("ok")
+    return rows.where(F.expr("if(record is null, raise_error('invalid boundary'), true)")).select("record.*")
 
 
 def chunks(spark: SparkSession, path: str, size: int = 65536) -> DataFrame:
