@@ -68,6 +68,19 @@ def digests(docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: DuckDB's view of `digests`, by all windows; for tables of some megabytes.
+DEDUP_SQL = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+n as (select doc_id, unnest(range(1, greatest(1, len(w) - 33))) as i, w from d),
+g as (select doc_id, i, count(*) over (partition by s) > 1 as again from (select doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) as s from n)),
+e as (select doc_id, p, sum(x) as x from (select doc_id, i as p, 1 as x from g where again union all select doc_id, i + 35, -1 from g where again) group by all),
+b as (select doc_id, unnest(w) as y, generate_subscripts(w, 1) as p from d),
+c as (select b.doc_id, b.p, y, sum(coalesce(x, 0)) over (partition by b.doc_id order by b.p rows unbounded preceding) > 0 as gone from b left join e on e.doc_id = b.doc_id and e.p = b.p)
+select d.doc_id, cast(len(any_value(w)) as bigint) as n_words, count(*) filter (where gone) as n_removed, sha256(coalesce(string_agg(y, ' ' order by p) filter (where not gone), '')) as kept_sha256
+from d left join c on c.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def brute_force(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
     """What `digests` returns for rows (doc_id, text) with doc_ids that differ, by a dictionary of all windows."""
     from collections import Counter

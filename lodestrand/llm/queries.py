@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": mixing.MIX_SQL.format(docs="documents")}
+    return {"op3_mix": mixing.MIX_SQL.format(docs="documents"), "op6_suffix_dedup": suffix_dedup.DEDUP_SQL, "op10_prefix_trees": prefix_trees.DEDUP_SQL}

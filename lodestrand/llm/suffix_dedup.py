@@ -101,6 +101,21 @@ def digests(docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: DuckDB's view of `digests`, by all strings; for tables of some megabytes.
+DEDUP_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as h from documents),
+w as (select doc_id, unnest(range(1, greatest(1, octet_length(h) - 98))) as i, h from d),
+g as (select doc_id, i, row_number() over (partition by s order by doc_id, i) > 1 as again from (select doc_id, i, md5(h[i : i + 99]) as s from w)),
+e as (select doc_id, p, sum(x) as x from (select doc_id, i as p, 1 as x from g where again union all select doc_id, i + 100, -1 from g where again) group by all),
+b as (select doc_id, unnest(range(1, octet_length(h) + 1)) as p, h from d),
+c as (select b.doc_id, b.p, h[b.p : b.p] as y, sum(coalesce(x, 0)) over (partition by b.doc_id order by b.p rows unbounded preceding) > 0 as gone from b left join e on e.doc_id = b.doc_id and e.p = b.p),
+r as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as first from c)
+select d.doc_id, octet_length(any_value(h)) as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where first) as n_spans,
+  sha256(unhex(coalesce(string_agg(hex(y), '' order by p) filter (where not gone), ''))) as kept_sha256
+from d left join r on r.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def brute_force(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
     """What `digests` returns for rows (doc_id, text) with doc_ids that differ, by a dictionary of all strings."""
     seen, out = set(), {}
