@@ -10,19 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(probes: DataFrame, rows: DataFrame, at: str, pos: str, tie: str = "idx", forward: bool = False, width: float = 4096, by: str = "stream_id") -> DataFrame:
-    """probes and `hit`, a struct of the last row with pos <= at (forward: the first with pos >= at); null where there is none."""
-    sign = -1 if forward else 1
+def _placed(probes: DataFrame, rows: DataFrame, at: str, pos: str, tie: str, width: float, by: str, back: bool, ahead: bool) -> DataFrame:
+    """probes with __back, the last row with pos <= at, and __next, the first with pos > at, as asked for: one shuffle by (stream, bucket), shared by the windows and by the buckets' ends."""
     keep = F.struct(*rows.columns)
-    left = probes.select(by, (sign * F.col(at)).alias("__p"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__tie"), F.struct(*probes.columns).alias("__probe"), F.lit(None).cast(rows.select(keep.alias("r")).schema["r"].dataType).alias("__row"))
-    right = rows.select(by, (sign * F.col(pos)).alias("__p"), F.lit(0).alias("__kind"), (sign * F.col(tie)).cast("long").alias("__tie"), F.lit(None).cast(left.schema["__probe"].dataType).alias("__probe"), keep.alias("__row"))
-    both = left.unionByName(right).withColumn("__b", F.floor(F.col("__p") / width))
-    inside = F.last("__row", ignorenulls=True).over(Window.partitionBy(by, "__b").orderBy("__p", "__kind", "__tie"))
-    tops = both.groupBy(by, "__b").agg(F.max_by("__row", F.when(F.col("__kind") == 0, F.struct("__p", "__tie"))).alias("__top"))
-    before = F.last("__top", ignorenulls=True).over(Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.select(by, "__b", before.alias("__before"))
-    both = both.withColumn("__in", inside).where("__kind = 1").join(tops, [by, "__b"])
-    return both.select("__probe.*", F.coalesce("__in", "__before").alias("hit"))
+    left = probes.select(by, F.col(at).cast("double").alias("__p"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__tie"), F.struct(*probes.columns).alias("__probe"), F.lit(None).cast(rows.select(keep.alias("r")).schema["r"].dataType).alias("__row"))
+    right = rows.select(by, F.col(pos).cast("double").alias("__p"), F.lit(0).alias("__kind"), F.col(tie).cast("long").alias("__tie"), F.lit(None).cast(left.schema["__probe"].dataType).alias("__probe"), keep.alias("__row"))
+    both = left.unionByName(right).withColumn("__b", F.floor(F.col("__p") / width)).repartition(by, "__b")
+    order = Window.partitionBy(by, "__b").orderBy("__p", "__kind", "__tie")
+    ends = Window.partitionBy(by).orderBy("__b")
+    found, hits = both, []
+    tops = both.groupBy(by, "__b")
+    aggs, carried = [], []
+    place = F.when(F.col("__kind") == 0, F.struct("__p", "__tie"))
+    if back:
+        found = found.withColumn("__in_back", F.last("__row", ignorenulls=True).over(order))
+        aggs.append(F.max_by("__row", place).alias("__top"))
+        carried.append(F.last("__top", ignorenulls=True).over(ends.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+        hits.append(F.coalesce("__in_back", "__before").alias("__back"))
+    if ahead:
+        found = found.withColumn("__in_next", F.first("__row", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+        aggs.append(F.min_by("__row", place).alias("__low"))
+        carried.append(F.first("__low", ignorenulls=True).over(ends.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+        hits.append(F.coalesce("__in_next", "__after").alias("__next"))
+    tops = tops.agg(*aggs).select(by, "__b", *carried)
+    return found.where("__kind = 1").join(tops, [by, "__b"]).select("__probe.*", *hits)
+
+
+def as_of(probes: DataFrame, rows: DataFrame, at: str, pos: str, tie: str = "idx", forward: bool = False, width: float = 4096, by: str = "stream_id") -> DataFrame:
+    """probes and `hit`, a struct of the last row with pos <= at (forward: the first with pos > at); null where there is none."""
+    out = _placed(probes, rows, at, pos, tie, width, by, not forward, forward)
+    return out.withColumnRenamed("__next" if forward else "__back", "hit")
 
 
 def at_or_before(probes: DataFrame, frames: DataFrame, at: str, by: str = "stream_id") -> DataFrame:
@@ -34,9 +51,7 @@ def at_or_before(probes: DataFrame, frames: DataFrame, at: str, by: str = "strea
 
 def at_or_after(probes: DataFrame, frames: DataFrame, at: str, by: str = "stream_id") -> DataFrame:
     """The first frame whose end is after at."""
-    ends = frames.withColumn("end_offset", F.col("offset") + F.col("length"))
-    out = as_of(probes.withColumn("__at", F.col(at) + 1), ends, "__at", "end_offset", forward=True, by=by)
-    return out.drop("__at")
+    return as_of(probes, frames.withColumn("end_offset", F.col("offset") + F.col("length")), at, "end_offset", forward=True, by=by)
 
 
 def containing(probes: DataFrame, frames: DataFrame, at: str, by: str = "stream_id") -> DataFrame:
@@ -46,13 +61,11 @@ def containing(probes: DataFrame, frames: DataFrame, at: str, by: str = "stream_
 
 
 def nearest(probes: DataFrame, rows: DataFrame, at: str, pos: str = "time_s", width: float = 64, by: str = "stream_id") -> DataFrame:
-    """The row nearest to at, the earlier of two as near. Rows at one place: the first by idx."""
-    names = probes.columns
-    back = as_of(probes, rows, at, pos, width=width, by=by).withColumnRenamed("hit", "__back")
-    both = as_of(back, rows, at, pos, forward=True, width=width, by=by).withColumnRenamed("hit", "__next")
+    """The row nearest to at, the earlier of two as near. A stream's rows have different places, as frames last."""
+    both = _placed(probes, rows, at, pos, "idx", width, by, True, True)
     gap = lambda side: F.abs(F.col(f"{side}.{pos}") - F.col(at))
     hit = F.when(F.col("__back").isNull() | (gap("__next") < gap("__back")), F.col("__next")).otherwise(F.col("__back"))
-    return both.select(*names, hit.alias("hit"))
+    return both.select(*probes.columns, hit.alias("hit"))
 
 
 def near(left: DataFrame, right: DataFrame, at: str, pos: str, radius: float, by: str = "stream_id") -> DataFrame:
