@@ -9,6 +9,7 @@ from lodestrand.operators import candidates as C
 from lodestrand.operators import detect as D
 from lodestrand.operators import evidence as V
 from lodestrand.operators import routing as R
+from lodestrand.operators import specialists as P
 from lodestrand.sources import bindings as B
 
 from .detector_queries import NOVELTY_SQL, _features, _outgoing, _round
@@ -103,7 +104,17 @@ def q61_specialist_geometry(spark, sf):
     return R.hard_cut_boundary(x).select("stream_id", "k", "reference_s", "selected_s", "boundary_s")
 
 
-QUERIES = {f.__name__: f for f in (q30_cluster, q31_confidence, q57_symmetric_regions, q58_asymmetric_regions, q59_fade_association, q60_route, q61_specialist_geometry)}
+def q78_insert_geometry(spark, sf):
+    x = V.asymmetric_regions(V.symmetric_regions(_contexts(spark, sf, 2.5)))
+    return P.unpacked(P.insert_geometry(x, F.lit(False)), "insert")
+
+
+def q79_supported_exclusion(spark, sf):
+    x = _contexts(spark, sf, 2.5).withColumn("selected_s", F.col("reference_s") - 0.25)
+    return P.unpacked(P.supported_exclusion(x, "selected_s"), "exclusion")
+
+
+QUERIES = {f.__name__: f for f in (q30_cluster, q31_confidence, q57_symmetric_regions, q58_asymmetric_regions, q59_fade_association, q60_route, q61_specialist_geometry, q78_insert_geometry, q79_supported_exclusion)}
 
 PROPOSALS_SQL = NOVELTY_SQL + ", " + MINIMA_SQL + """, ov as (select stream_id, median(rms) as overall from lv group by stream_id),
 pp as (select mi.stream_id, minimum_s as time_s, 'BASIN' as source, round(rms / greatest(overall, 1e-12), 6) as depth, null::double as strength, minimum_s - 0.5::double as start_s, minimum_s + 0.75::double as recovery_s from mi join ov using (stream_id) where rms <= 0.3::double * overall
@@ -151,4 +162,14 @@ SQL = {
       when ne = 1 then er when ng > 0 then sel else coalesce(nt, sel) end as boundary_s from g""",
         recursive=True,
     ),
+    "q79_supported_exclusion": B.with_sql(
+        "fr pc",
+        ALL_SQL.replace("10.0::double", "2.5::double").replace("last_end_s / 10", "last_end_s / 2.5")
+        + """, s as (select stream_id, k, candidate_s as ref, candidate_s - 0.25::double as sel from ca),
+    n as (select s.*, (select arg_max({'t': c.time_s, 'r': c.recovery_s, 'u': c.sup}, c.time_s) from cx c where c.stream_id = s.stream_id and c.k = s.k and c.time_s < sel) as l,
+      (select arg_min({'t': c.time_s, 'r': c.recovery_s, 'u': c.sup}, c.time_s) from cx c where c.stream_id = s.stream_id and c.k = s.k and c.time_s > sel) as r from s),
+    e as (select *, case when sel - l.t <= r.t - sel then least(l.t, l.r) else sel end as o, greatest(r.t, r.r) as i from n where l.u and r.u)
+    select stream_id, k, ref as reference_s, sel as selected_s, 'EXCLUSION' as kind, i as incoming_start_s, o as outgoing_end_s from e where o < i""",
+        recursive=True,
+    ),
 }

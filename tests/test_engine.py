@@ -324,3 +324,39 @@ def test_api(spark, tmp_path):
     assert parts[0].start_offset == 0 and parts[-1].end_offset == 6000
     assert json.loads(api.segment_json(spark, lv, fr, '{"provider": "x"}', str(tmp_path / "p")))["error"]["code"] == "invalid_request"
     assert json.loads(api.segment_json(spark, lv, fr, "[]", str(tmp_path / "p")))["ok"] is False
+
+
+HYP = "struct<time_s: double, hyp_id: long, n_basin: int, n_structural: int, start_s: double, minimum_s: double, recovery_s: double, novelty: double>"
+
+
+def hyp(i, t, basin=1, structural=1, width=1.0, novelty=0.5):
+    edges = (t - width, t, t + width) if basin else (None, None, None)
+    return (t, i, basin, structural, *edges, novelty if structural else None)
+
+
+@pytest.mark.parametrize(
+    "reference,hyps,want",
+    [
+        (12.0, [hyp(1, 10.0), hyp(2, 12.5, basin=0), hyp(3, 20.0)], ("HARD_CUT", 12.5, 12.5)),  # a bridge nearest to the reference
+        (10.5, [hyp(1, 10.0), hyp(2, 16.0, basin=0), hyp(3, 20.0)], ("EXCLUSION", 20.0, 10.0)),  # the region itself
+        (12.0, [hyp(0, 2.0), hyp(4, 5.0, basin=0), hyp(1, 10.0), hyp(3, 20.0)], ("EXCLUSION", 20.0, 2.0)),  # from the one before, over structure alone
+        (12.0, [hyp(0, 2.0), hyp(4, 5.0, structural=0), hyp(1, 10.0), hyp(3, 20.0)], ("EXCLUSION", 20.0, 10.0)),
+        (12.0, [hyp(1, 10.0), hyp(2, 13.0, basin=0)], ("EXCLUSION", 13.0, 11.0)),  # one-sided
+        (12.0, [hyp(1, 11.5), hyp(2, 13.0, basin=0)], None),  # the right one is farther
+    ],
+)
+def test_insert_geometry(spark, reference, hyps, want):
+    from lodestrand.operators import specialists as P
+
+    c = spark.createDataFrame([(1, 0, reference, hyps)], f"stream_id long, k long, reference_s double, hyps array<{HYP}>")
+    out = P.unpacked(P.insert_geometry(Ev.asymmetric_regions(Ev.symmetric_regions(c)), F.lit(False)), "insert").collect()
+    assert [(r.kind, r.incoming_start_s, r.outgoing_end_s) for r in out] == ([want] if want else [])
+
+
+def test_supported_exclusion(spark):
+    from lodestrand.operators import specialists as P
+
+    rows = [(1, s, s, [hyp(1, 10.0), hyp(2, 20.0)]) for s in (12.0, 18.0, 25.0)] + [(2, 12.0, 12.0, [hyp(1, 10.0), hyp(2, 20.0, basin=0)])]
+    c = spark.createDataFrame(rows, f"stream_id long, selected_s double, reference_s double, hyps array<{HYP}>")
+    out = P.unpacked(P.supported_exclusion(c, "selected_s"), "exclusion").orderBy("selected_s").collect()
+    assert [(r.selected_s, r.outgoing_end_s, r.incoming_start_s) for r in out] == [(12.0, 10.0, 21.0), (18.0, 18.0, 21.0)]
