@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestrand import on_workers
+
 #: Characters that no file name may hold. A fixed value.
 UNSAFE = '/\\:*?"<>|'
 NAME_BYTES = 240
@@ -16,6 +18,7 @@ NAME_BYTES = 240
 
 def normal_title(title: Column) -> Column:
     """Case-folded, without accents, anything but a-z and 0-9 as single spaces, trimmed."""
+    on_workers()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -32,6 +35,7 @@ def normal_title(title: Column) -> Column:
 
 def safe_stem(title: Column) -> Column:
     """NFC, unsafe and control characters as _, runs of blanks as one, trimmed of ` ._-`; `track` if nothing is left."""
+    on_workers()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

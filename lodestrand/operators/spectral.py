@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand import on_workers
 from lodestrand.functions import signal as K
 from lodestrand.functions import vectors as V
 
@@ -17,6 +18,7 @@ BY = "stream_id"
 
 def _kernel(pcm: DataFrame, schema: str, rows_of, by: str = BY) -> DataFrame:
     """rows_of(samples) -> rows for each row of pcm(by, data binary: mono 16-bit)."""
+    on_workers()
     names = [by, *(f.strip().split(" ")[0] for f in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

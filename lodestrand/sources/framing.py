@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand import on_workers
+
 #: Fixed values of the formats: kbit/s of layer III by bitrate index 1..14 (version 1; versions 2 and 2.5), sample rates by index (version 1, 2, 2.5), sample rates of ADTS.
 KBPS_1 = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
 KBPS_2 = (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
@@ -100,6 +102,7 @@ FRAME = "codec string, offset long, length int, sample_rate int, samples int, ti
 
 def frames(chunks: DataFrame, codec: str, by: str = "stream_id") -> DataFrame:
     """Frames of chunks(seq, data): each stream is read in order, a chunk at a time, so only the incomplete tail is held."""
+    on_workers()
     key = dict(chunks.dtypes)[by]
     ordered = chunks.select(by, "seq", "data").repartition(by).sortWithinPartitions(by, "seq")
 
@@ -161,6 +164,7 @@ def block_title(block: bytes) -> str | None:
 
 def demuxed(chunks: DataFrame, interval: int, by: str = "stream_id") -> DataFrame:
     """by, seq, audio, events(title, audio_offset) for each chunk in order."""
+    on_workers()
     key = dict(chunks.dtypes)[by]
     ordered = chunks.select(by, "seq", "data").repartition(by).sortWithinPartitions(by, "seq")
 

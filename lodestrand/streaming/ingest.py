@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestrand import on_workers
 from lodestrand.sources.framing import Demux, FrameScan
 
 
@@ -29,6 +30,7 @@ def frames(chunks: DataFrame, codec: str) -> DataFrame:
         state.update((scan.offset, scan.elapsed, scan.pending))
         yield pd.DataFrame(rows, columns=["stream_id", "codec", "offset", "length", "sample_rate", "samples", "time_seconds"])
 
+    on_workers()
     kind = dict(chunks.dtypes)["stream_id"]
     schema = f"stream_id {kind}, codec string, offset long, length int, sample_rate int, samples int, time_seconds double"
     return chunks.groupBy("stream_id").applyInPandasWithState(step, schema, "offset long, elapsed double, pending binary", "append", GroupStateTimeout.NoTimeout)
@@ -46,6 +48,7 @@ def demuxed(chunks: DataFrame, interval: int) -> DataFrame:
         state.update((pickle.dumps(demux),))
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "audio", "events"])
 
+    on_workers()
     kind = dict(chunks.dtypes)["stream_id"]
     return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, seq long, audio binary, events array<struct<title: string, audio_offset: long>>", "demux binary", "append", GroupStateTimeout.NoTimeout)
 
@@ -91,6 +94,7 @@ def titles(events: DataFrame, threshold: float) -> DataFrame:
         state.update((pickle.dumps(tracker),))
         yield pd.DataFrame(rows, columns=["stream_id", "what", "title", "start_t", "at_t"])
 
+    on_workers()
     kind = dict(events.dtypes)["stream_id"]
     return events.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, what string, title string, start_t double, at_t double", "tracker binary", "append", GroupStateTimeout.NoTimeout)
 
@@ -124,6 +128,7 @@ def settled(rows: DataFrame, settle: float) -> DataFrame:
         state.update((pickle.dumps(queue),))
         yield pd.DataFrame({"stream_id": [key[0]] * len(ready), "candidate_s": ready})
 
+    on_workers()
     kind = dict(rows.dtypes)["stream_id"]
     return rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, candidate_s double", "queue binary", "append", GroupStateTimeout.NoTimeout)
 
