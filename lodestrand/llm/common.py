@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lodestrand import on_workers
+
 #: A word of the contracts: a maximal run of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches are cut to about so many bytes of text before kernels see them, which bounds their temporary arrays.
@@ -78,6 +80,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def map_batches(df: DataFrame, schema: T.StructType, run: Callable[[Iterable[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """mapInArrow whose function yields dicts of columns, cast here to the declared schema."""
     target = to_arrow_schema(schema)
+    on_workers()
 
     def mapped(batches):
         for columns in run(batches):

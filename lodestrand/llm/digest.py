@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, slices, spread
+from .common import map_batches, per_text, slices, spread
 
 BUCKETS = 256
 #: Places in the five-byte window that make a triplet, and the odd multiplier of each one's hash. Fixed values.
@@ -82,13 +82,11 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and `fingerprint` for each row; a null text counts as empty."""
-    from .common import per_text
-
     return per_text(docs, "fingerprint string", lambda: lambda t: (fingerprint(t.encode("utf-8", "surrogatepass")),), keep, text)
 
 
 def _splitters(docs: DataFrame, parts: int) -> np.ndarray:
-    points = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    points = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else None
     return np.unique(np.array(points or [], np.int64))
 
 
