@@ -37,10 +37,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Bytes of a table, as the planner estimates them, for which a shuffle of whole rows takes a partition, up to the session's number.
+PART_BYTES = 256 << 10
+
+
 def spread(df: DataFrame) -> int:
-    """Partitions for a shuffle that moves whole rows of df: as many as it has, and as many as the session asks for."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df._jdf.queryExecution().toRdd().getNumPartitions())
+    """Partitions for a shuffle that moves whole rows of df: as many as it has, and as many as the session asks for, unless it is small."""
+    plan = df._jdf.queryExecution()
+    asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-int(str(plan.optimizedPlan().stats().sizeInBytes())) // PART_BYTES)
+    return max(plan.toRdd().getNumPartitions(), min(asked, needed), 1)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
