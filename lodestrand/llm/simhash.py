@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near
 from .common import WORD, checkpoint, map_batches, per_text, spread
 from .graph import components
 
@@ -222,14 +223,14 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, agree: int =
     return prints.join(table, F.col("fp") == F.col("node"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near copies: word shingles, and the bits in which texts with a Jaccard likeness of 0.8 or more differ by most.
-NEAR_SHINGLE, NEAR_RADIUS, NEAR_AGREE = 5, 8, 3
+#: For near copies: word shingles. The radius links fingerprints in tests only; it is no bound for texts with a likeness of 0.8.
+NEAR_SHINGLE, NEAR_RADIUS = 5, 8
 
 
-def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, agree: int = NEAR_AGREE) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their group; of rows that share it, the one with the least text. Rows without a doc_id stay."""
+def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their group, by exact likeness; of rows that share it, the one with the least text. Rows without a doc_id stay."""
     named = docs.where("doc_id is not null")
-    least = groups(named, shingle, radius, agree).where("doc_id = component_id").select(F.col("doc_id").alias("__least")).distinct()
+    least = near.groups(named, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("__least")).distinct()
     kept = named.join(least, F.col("doc_id") == F.col("__least"), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
