@@ -9,11 +9,15 @@ and only suffixes that start at chosen places (about 2 in window - k + 2) need b
 2. `suffixes`: the rest are joined with their texts, which gives the suffix (`head`: the k tokens, `tail`: what follows
    within the windows) and what stands before it (`left`). A task sends equal ones' bytes once.
 3. Suffixes are range-partitioned by their bytes between sampled splitters (ties by document and place, so that equal
-   suffixes divide as well), and `resolve` finds repeated windows in each partition. A class (suffixes with one head)
-   that touches a partition's end may go on in the next: its windows are compared across partitions by `across`.
+   suffixes divide as well), and `resolve` finds repeated windows in each partition: an operator's own `match` sorts the
+   distinct suffixes and compares them token by token. A class (suffixes with one head) that touches a partition's end may
+   go on in the next: its windows are met across partitions by `across`, by XXH3-128 of their bytes.
 4. Spans of repeated windows return to their texts.
 
-Keys: rows that agree in doc_id and text are one document, given out as often as they occur. A null doc_id is least of all.
+The hashes of steps 1 and 2 only choose what is looked at; none of them decides that text goes.
+
+Keys: rows that agree in doc_id and text are one document, given out as often as they occur. A null doc_id is less than
+any other; its rows are told apart, and dealt, by a hash of the text. (doc_ids below -2^62 are ordered among the nulls.)
 """
 
 from __future__ import annotations
@@ -25,17 +29,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches, slices, spread, utf8
 
 NULL_ID = -(1 << 63)
+#: Hashes of runs known to be repeated that a task remembers, so that it sends each of them once by its hash.
+MOST_HOT = 1 << 20
 #: Tokens whose hashes are held at once.
 CHUNK = 1 << 19
 PLACE_BITS = 20
-#: Suffixes of different kinds whose windows `resolve` compares at once.
+#: Suffixes of different kinds that `resolve` compares at once.
 MOST_KINDS = 1 << 13
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 IS_BLANK = np.zeros(256, bool)
@@ -158,18 +164,24 @@ class Unit:
         return word_values(data, starts, ends, base), first
 
 
+def key_of(text) -> Column:
+    """doc_id as a long; rows without one have a key by their text, so that they spread."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID) + F.xxhash64(text).bitwiseAND((1 << 62) - 1))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, key and hash (a number that tells different texts of one key apart), dealt by key: the one shuffle of texts, which both joins below share."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key")).repartition(spread(docs), "key")
+    rows = docs.select("doc_id", text.alias("text"), key_of(text).alias("key")).repartition(spread(docs), "key")
     return rows.withColumn("hash", F.dense_rank().over(Window.partitionBy("key").orderBy(F.xxhash64("text"))))
 
 
 def repeated(docs: DataFrame, unit: Unit, parts: int) -> DataFrame:
     """key and places: chosen places whose run of k tokens is met at another place too. It may hold a few others."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), "text")
+    rows = docs.select(key_of(F.coalesce("text", F.lit(""))).alias("key"), "text")
 
     def choose(batches):
+        hot = np.zeros(0, U64)
         for batch in batches:
             for piece in slices(batch):
                 keys = piece.column(0).to_numpy(zero_copy_only=False)
@@ -181,6 +193,12 @@ def repeated(docs: DataFrame, unit: Unit, parts: int) -> DataFrame:
                     follows[order[1:]] = same
                     sure = follows.copy()
                     sure[order[:-1]] |= same
+                    if len(hot):  # sent by an earlier piece
+                        met = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                        follows |= met
+                        sure |= met
+                    if len(hot) < MOST_HOT:
+                        hot = np.union1d(hot, h[order[1:][same]])
                     where |= sure
                     # those after the first are known to be repeated: any partition does, the same one for a document's
                     h = np.where(follows, mix(keys[row].astype(U64) + U64(BASES[1])), h)
@@ -281,26 +299,134 @@ def suffixes(texts: DataFrame, places: DataFrame, unit: Unit, keep_first: bool)
     return map_batches(rows, T._parse_datatype_string(SUFFIX), cut)
 
 
-def kinds(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix the number of its kind (equal head, tail and left), and one suffix of each kind."""
+def kinds(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each suffix the number of its kind (equal head, tail and left); one suffix of each kind; each kind's class (equal heads); and whether a class holds the least or the greatest head."""
     code = np.zeros(table.num_rows, np.int64)
     for i in range(3):
         coded = table.column(i).combine_chunks().dictionary_encode()
         code = code * len(coded.dictionary) + coded.indices.to_numpy()
         if i:  # numbers stay small
             code = np.unique(code, return_inverse=True)[1].ravel()
+        else:
+            heads, group = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     _, first, kind = np.unique(code, return_index=True, return_inverse=True)
-    return kind.ravel(), first
+    ends = np.zeros(len(heads), bool)
+    ends[[heads.index(min(heads)), heads.index(max(heads))]] = True
+    return kind.ravel(), first, group[first], ends
+
+
+@dataclass(frozen=True)
+class Suffixes:
+    """Suffixes of different kinds as rows of characters: from the chosen place on (right), and backwards from it (left).
+
+    A character holds `width` tokens: eight bytes as one number, or one word by its number in a dictionary of these
+    suffixes' words. Rows are padded with 0; nr and nl count their tokens. text: left, head and tail in one.
+    """
+
+    right: np.ndarray
+    left: np.ndarray
+    nr: np.ndarray
+    nl: np.ndarray
+    width: int
+    text: list[bytes]
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def window(self, i: int, before: int, length: int) -> bytes:
+        """The bytes of the window of row i that starts `before` tokens ahead of the chosen place."""
+        at = int(self.nl[i]) - before
+        return self.text[i][at : at + length] if self.width > 1 else b" ".join(self.text[i].split(b" ")[at : at + length])
+
+
+def _padded(strings: list[bytes]) -> np.ndarray:
+    """Big-endian eight-byte characters; lengths come last, so that a text and the same with more zero bytes differ."""
+    lengths = np.array([len(s) for s in strings], np.int64)
+    wide = -(-max(1, int(lengths.max(initial=0))) // 8) * 8
+    padded = np.zeros((len(strings), wide), np.uint8)
+    padded[np.arange(wide) < lengths[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
+    return np.concatenate([padded.view(">u8").astype(U64), lengths.astype(U64)[:, None]], axis=1)
+
+
+def suffix_rows(unit: Unit, table: pa.Table) -> Suffixes:
+    """table: head, tail, left of suffixes of different kinds."""
+    heads, tails, lefts = (c.to_pylist() for c in table.columns)
+    if not unit.words:
+        rights = [h + t for h, t in zip(heads, tails)]
+        count = lambda strings: np.array([len(s) for s in strings], np.int64)
+        return Suffixes(_padded(rights), _padded([s[::-1] for s in lefts]), count(rights), count(lefts), 8, [a + b for a, b in zip(lefts, rights)])
+    text = [b" ".join([x for x in parts if x]) for parts in zip(lefts, heads, tails)]
+    nl = np.array([s.count(b" ") + 1 if s else 0 for s in lefts], np.int64)
+    n = np.array([s.count(b" ") + 1 for s in text], np.int64)
+    # each word with the blank after it is a value of its own
+    data = b" ".join(text) + b" "
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20) + 1
+    offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64))
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(data)])
+    codes = np.append(words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1, 0)
+    begin = np.cumsum(n) - n
+
+    def rows(first: np.ndarray, count: np.ndarray, step: int) -> np.ndarray:
+        place = np.arange(max(1, int(count.max(initial=0))))
+        at = first[:, None] + step * place
+        return codes[np.where(place < count[:, None], at, len(codes) - 1)]
+
+    return Suffixes(rows(begin + nl, n - nl, 1), rows(begin + nl - 1, nl, -1), n - nl, nl, 1, text)
+
+
+def multikey_quicksort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of characters, and how many characters each row has in common with the one before it.
+
+    Each round divides all groups at once, each by its pivot in the character that the group has come to: what is less and
+    what is greater stays at that character, what is equal goes on to the next.
+    """
+    n, most = rows.shape
+    order, common = np.arange(n), np.full(n, most)
+    common[:1] = 0
+    start, size, depth = np.array([0]), np.array([n]), np.array([0])
+    while True:
+        some = (size > 1) & (depth < most)
+        start, size, depth = start[some], size[some], depth[some]
+        if not len(start):
+            return order, common
+        begin = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(start)), size)
+        at = np.arange(len(group)) + (start - begin)[group]
+        members = order[at]
+        character = rows[members, depth[group]]
+        pivot = character[begin + size // 2][group]
+        side = 3 * group + (character > pivot) + (character >= pivot)
+        order[at] = members[np.argsort(side, kind="stable")]
+        less, equal, more = np.bincount(side, minlength=3 * len(start)).reshape(-1, 3).T
+        middle, end = start + less, start + less + equal
+        common[middle[less > 0]] = depth[less > 0]
+        common[end[more > 0]] = depth[more > 0]
+        start, size, depth = np.concatenate([start, middle, end]), np.concatenate([less, equal, more]), np.concatenate([depth, depth + 1, depth])
+
+
+def common_prefixes(rows: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows, and the tokens that each has in common with the one before it (the LCP array)."""
+    order, common = multikey_quicksort(rows)
+    a, b, depth = order[:-1], order[1:], common[1:]
+    tokens = depth * width
+    if width > 1:  # equal bytes at the head of the first character that differs
+        last = rows.shape[1] - 1
+        differ = rows[a, np.minimum(depth, last)] ^ rows[b, np.minimum(depth, last)]
+        tokens += np.where(depth <= last, sum((differ < U64(1 << 8 * i)).astype(np.int64) for i in range(8)), 0)
+    return order, np.concatenate(([0], np.minimum(tokens, np.minimum(lengths[a], lengths[b]))))
 
 
 FOUND = "key long, hash int, start long, length int, w1 long, w2 long"
+#: rows, before (tokens from a window's start to the chosen place): of windows, or of spans of windows by their first and last.
+Match = Callable[[Suffixes, np.ndarray, Unit], tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]
 
 
-def resolve(rows: DataFrame, unit: Unit, keep_first: bool, classes: Callable) -> DataFrame:
-    """Of each partition of suffixes: repeated spans (length > 0), and windows that must be compared across partitions (length 0).
+def resolve(rows: DataFrame, unit: Unit, keep_first: bool, match: Match) -> DataFrame:
+    """Of each partition of suffixes: repeated spans (length > 0), and windows that must be met across partitions (length 0).
 
-    classes(table): for each suffix the number of its kind (equal head, tail and left) and of its class (equal heads), and
-    the classes that the least and the greatest suffix are in.
+    match(suffixes, open, unit): of suffixes of different kinds, in the order of their documents and places, the repeated
+    windows (row, fewest and most tokens before the place), and, of those whose class may go on elsewhere (open), each
+    window once, as its first row and the tokens before.
     """
     window = unit.window
 
@@ -316,22 +442,23 @@ def resolve(rows: DataFrame, unit: Unit, keep_first: bool, classes: Callable) ->
             return
         table = pa.Table.from_batches(held).combine_chunks()
         del held
-        kind, group, low, high = classes(table)
+        kind, _, classes, ends = kinds(table)
         key, h, start = (table.column(i).to_numpy() for i in range(3, 6))
         order = np.lexsort((start, h, key, kind))
-        key, h, start, kind, group = key[order], h[order], start[order], kind[order], group[order]
+        key, h, start, kind = key[order], h[order], start[order], kind[order]
         again = np.zeros(len(order), bool)  # repeated rows are one document
         again[1:] = (kind[1:] == kind[:-1]) & (key[1:] == key[:-1]) & (h[1:] == h[:-1]) & (start[1:] == start[:-1])
         if again.any():
-            order, key, h, start, kind, group = (x[~again] for x in (order, key, h, start, kind, group))
+            order, key, h, start, kind = (x[~again] for x in (order, key, h, start, kind))
+        group = classes[kind]
         fresh = np.concatenate(([True], kind[1:] != kind[:-1]))
         gone = ~fresh if keep_first else ~(fresh & np.concatenate((fresh[1:], [True])))
         rows_gone = order[gone]
         yield spans(key[gone], h[gone], start[gone], span_lengths(unit, table.select([0, 1, 2]).take(pa.array(rows_gone))))
         # classes of several kinds: their windows differ in part; so may those of a class that goes on elsewhere
-        open_ = (group == low) | (group == high)
-        kinds = np.bincount(group[fresh], minlength=int(group.max()) + 1)
-        left = np.flatnonzero(fresh & (open_ | (kinds[group] > 1)))
+        open_ = ends[group]
+        several = np.bincount(group[fresh], minlength=len(ends)) > 1
+        left = np.flatnonzero(fresh & (open_ | several[group]))
         left = left[np.argsort(group[left], kind="stable")]
         at = 0
         while at < len(left):
@@ -340,29 +467,27 @@ def resolve(rows: DataFrame, unit: Unit, keep_first: bool, classes: Callable) ->
                 to += 1  # a class that isn't open is met at once
             some = left[at:to]
             at = to
-            span, inside, w1, w2 = window_hashes(unit, table.select([0, 1, 2]).take(pa.array(order[some])))
-            here = some[span]
-            places = start[here] + inside
-            # the order of rows stands for that of key, hash and start only within a kind
-            by = np.lexsort((places, h[here], key[here], w2, w1))
-            here, places, w1, w2 = here[by], places[by], w1[by], w2[by]
-            new = np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-            hit = ~new if keep_first else ~(new & np.concatenate((new[1:], [True])))
-            yield spans(*runs(key[here][hit], h[here][hit], places[hit], window))
-            apart = new & open_[here]  # the earliest of each window here: what equals it here is known
-            if apart.any():
-                far = here[apart]
-                yield {"key": key[far], "hash": h[far], "start": places[apart], "length": np.zeros(len(far), np.int32), "w1": w1[apart].view(np.int64), "w2": w2[apart].view(np.int64)}
+            content = table.select([0, 1, 2])
+            lengths = head_places(unit, content.take(pa.array(order[some])))
+            some = some[np.lexsort((start[some] + lengths, h[some], key[some]))]
+            found = suffix_rows(unit, content.take(pa.array(order[some])))
+            place = start[some] + found.nl
+            (row, few, most), (far, before) = match(found, open_[some], unit)
+            here = some[row]
+            yield spans(key[here], h[here], place[row] - most, window + most - few)
+            if len(far):
+                here = some[far]
+                digests = b"".join(xxhash.xxh3_128_digest(found.window(i, b, window)) for i, b in zip(far.tolist(), before.tolist()))
+                w1, w2 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+                yield {"key": key[here], "hash": h[here], "start": place[far] - before, "length": np.zeros(len(far), np.int32), "w1": w1, "w2": w2}
 
     return map_batches(rows, T._parse_datatype_string(FOUND), work)
 
 
-def _joined(unit: Unit, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """left, head and tail of each row as one span: bytes of all spans, and offsets."""
-    heads, tails, lefts = (c.to_pylist() for c in table.columns)
-    parts = zip(lefts, heads, tails)
-    spans_ = [b" ".join([x for x in p if x]) for p in parts] if unit.words else [b"".join(p) for p in parts]
-    return np.frombuffer(b"".join(spans_), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in spans_]))).astype(np.int64)
+def head_places(unit: Unit, table: pa.Table) -> np.ndarray:
+    """Tokens before each suffix's chosen place."""
+    lefts = table.column(2).to_pylist()
+    return np.array([s.count(b" ") + 1 if s and unit.words else len(s) for s in lefts], np.int64)
 
 
 def span_lengths(unit: Unit, table: pa.Table) -> np.ndarray:
@@ -371,21 +496,8 @@ def span_lengths(unit: Unit, table: pa.Table) -> np.ndarray:
 
     if not unit.words:
         return sum(pc.binary_length(c).to_numpy() for c in table.columns)
-    return np.diff(words_of(*_joined(unit, table))[2])
-
-
-def window_hashes(unit: Unit, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of the spans: its span's number, its start there, and two hashes."""
-    data, offsets = _joined(unit, table)
-    out = []
-    for base in BASES:
-        values, first = unit.values(data, offsets, base)
-        out.append(run_hashes(prefix_sums(values, base), base, unit.window) if len(values) >= unit.window else np.zeros(0, U64))
-    n = np.diff(first) - unit.window + 1
-    span = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
-    at = first[:-1][span] + start
-    return span, start, out[0][at], out[1][at]
+    columns = [c.to_pylist() for c in table.columns]
+    return np.array([sum(x.count(b" ") + 1 for x in parts if x) for parts in zip(*columns)], np.int64)
 
 
 def spans(key, h, start, length) -> dict:
@@ -434,13 +546,13 @@ def across(found: DataFrame, unit: Unit, keep_first: bool, parts: int) -> DataFr
     return map_batches(found.repartition(parts, F.when(F.col("length") > 0, F.col("key")).otherwise(F.col("w1"))), T._parse_datatype_string(SPAN), meet)
 
 
-def marked(docs: DataFrame, unit: Unit, keep_first: bool, classes: Callable) -> DataFrame:
+def marked(docs: DataFrame, unit: Unit, keep_first: bool, match: Match) -> DataFrame:
     """doc_id, text, hash and marks (array of hash, start, length: spans of tokens in repeated windows; null: none) for each row of docs(doc_id, text)."""
     parts = spread(docs)
     texts = keyed(docs)
     rows = suffixes(texts, repeated(docs, unit, parts), unit, keep_first)
     rows = rows.repartitionByRange(2 * parts, "head", "tail", "left", "key", "hash", "start")
-    found = across(resolve(rows, unit, keep_first, classes), unit, keep_first, parts)
+    found = across(resolve(rows, unit, keep_first, match), unit, keep_first, parts)
     marks = found.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("hash", "start", "length")).alias("marks"))
     return texts.join(marks, texts["key"] == F.col("k"), "left").select("doc_id", "text", "key", "hash", "marks")
 

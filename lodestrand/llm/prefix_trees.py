@@ -1,11 +1,11 @@
 """Substring dedup by prefix-partitioned suffix trees: every word in a repeated window of `window` words goes, wherever it stands.
 
-See anchors.py for how suffixes are chosen and dealt: the splitters, sampled from the suffixes and as long as is needed
-to divide them, are the variable-length prefixes, and a partition is a group that fits in memory. Its suffixes are
-arranged as trees below their first words (`head`): the tree's leaves are the distinct suffixes with what stands before
-them. A leaf met twice is a maximal repeat that covers its whole span. Below
-a head with several leaves, nodes `window` words deep are found from each window's start; those reached more than once
-are the deep internal nodes.
+See anchors.py for how suffixes are chosen and dealt. The splitters, sampled from the suffixes and as long as is needed to
+divide them, bound groups of prefixes that fit in memory; within a group, suffixes with one head (their first words) have a
+subtree. Its leaves are the distinct suffixes, in sorted order; an internal node is a run of leaves with a common prefix, as
+deep as that has words. Leaves below a node agree on what follows; those that also agree on words before their places are
+occurrences of a repeat, and the longest such agreement makes it maximal. Nodes of a head that goes on in the next group
+are above both groups' subtrees: their windows are met across groups.
 """
 
 from __future__ import annotations
@@ -14,26 +14,62 @@ import hashlib
 import re
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .anchors import Unit, covered, kinds, marked, words_of
+from .anchors import Suffixes, Unit, common_prefixes, covered, marked, words_of
 from .common import WORD, map_batches, slices, utf8
 
 WINDOW = 35
 RUN = 8
 
 
-def _trees(table):
-    leaf, first = kinds(table)
-    heads = pc.dictionary_encode(table.column(0).combine_chunks().take(pa.array(first)))
-    order = pc.sort_indices(heads.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    head = rank[heads.indices.to_numpy()]
-    return leaf, head[leaf], 0, len(order) - 1
+def internal_nodes(depth: np.ndarray, least: int, most: int):
+    """Internal nodes of the tree over sorted leaves, deepest first: of each depth the leaves, and the node that each is below.
+
+    depth: words that each leaf has in common with the one before. A node of depth d is a run of leaves between which no
+    common prefix is shorter than d, and one is no longer.
+    """
+    for d in range(most, least - 1, -1):
+        joint = np.flatnonzero(depth == d)
+        if not len(joint):
+            continue
+        run = np.cumsum(depth < d)
+        below = np.zeros(run[-1] + 1, bool)
+        below[run[joint]] = True
+        leaves = np.flatnonzero(below[run])
+        yield d, leaves, run[leaves]
+
+
+def maximal_repeats(s: Suffixes, open_: np.ndarray, unit: Unit):
+    """Spans of repeated windows of each leaf, and the windows of open classes, each once: see anchors.resolve."""
+    order, depth = common_prefixes(s.right, s.nr, s.width)
+    rank = np.empty(len(s), np.int64)
+    rank[common_prefixes(s.left, s.nl, s.width)[0]] = np.arange(len(s))
+    rows, few, most = [], [], []
+    for d, leaves, node in internal_nodes(depth, unit.k, unit.window):
+        leaf = order[leaves]
+        by = np.lexsort((rank[leaf], node))
+        leaf, node = leaf[by], node[by]
+        a, b = leaf[:-1], leaf[1:]
+        differ = s.left[a] != s.left[b]
+        shared = np.where(differ.any(axis=1), differ.argmax(axis=1), s.left.shape[1])
+        shared = np.where(node[1:] == node[:-1], np.minimum(shared, np.minimum(s.nl[a], s.nl[b])), -1)
+        longest = np.maximum(np.append(shared, -1), np.append(-1, shared))  # of what stands before, with any leaf of the node
+        deep = np.flatnonzero(longest + d >= unit.window)
+        rows.append(leaf[deep])
+        few.append(np.full(len(deep), unit.window - d))
+        most.append(longest[deep])
+    far, before, seen = [], [], set()
+    for i in np.flatnonzero(open_).tolist():
+        for b in range(unit.window - int(s.nr[i]), int(s.nl[i]) + 1):
+            text = s.window(i, b, unit.window)
+            if text not in seen:
+                seen.add(text)
+                far.append(i)
+                before.append(b)
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *x]) for x in (rows, few, most)), (np.array(far, np.int64), np.array(before, np.int64))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -43,7 +79,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     empty table gives no rows. Other columns are not read.
     """
     unit = Unit(window, run, words=True)
-    rows = marked(docs.select("doc_id", "text"), unit, False, _trees)
+    rows = marked(docs.select("doc_id", "text"), unit, False, maximal_repeats)
     schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("n_words long, n_removed long, kept string")])
 
     def strip(batches):

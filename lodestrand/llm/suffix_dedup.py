@@ -1,8 +1,9 @@
 """Suffix-array dedup of byte strings: of every repeated string of `window` bytes all occurrences but the earliest go.
 
 See anchors.py for how suffixes are chosen, dealt between sampled splitters and compared across partitions. Within a
-partition they are sorted by multikey quicksort, whose characters are eight bytes: suffixes are divided by one character,
-and only groups of equals go on to the next.
+partition they are sorted by multikey quicksort, whose characters are eight bytes, and neighbours are compared: suffixes
+between which all common prefixes are long enough hold the same bytes from their places on. What stands before the places
+is sorted backwards in the same way. A window is repeated where both agree.
 """
 
 from __future__ import annotations
@@ -10,61 +11,44 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .anchors import Unit, covered, kinds, marked
+from .anchors import Suffixes, Unit, common_prefixes, covered, marked
 from .common import map_batches, slices, utf8
 
 WINDOW = 100
 RUN = 24
 
 
-def characters(strings: list[bytes], width: int) -> list[np.ndarray]:
-    """Big-endian eight-byte characters of strings of at most `width` bytes, zero-padded; their lengths come last."""
-    lengths = np.array([len(s) for s in strings], np.int64)
-    width = -(-max(1, width) // 8) * 8
-    padded = np.zeros((len(strings), width), np.uint8)
-    padded[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
-    words = padded.view(">u8").astype(np.uint64)
-    return [*words.T, lengths.astype(np.uint64)]
-
-
-def multikey_sort(columns: list[np.ndarray], marks: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The order of the rows by columns, first the most significant; for each m of marks, numbers of the groups of rows, in that order, that agree in columns[:m]."""
-    n = len(columns[0])
-    order, active = np.arange(n), np.arange(n)
-    begins = np.zeros(n, bool)
-    begins[:1] = True
-    out = []
-    for depth, column in enumerate(columns, 1):
-        group = np.cumsum(begins)[active]
-        keys = column[order[active]]
-        by = np.lexsort((keys, group))
-        order[active] = order[active][by]
-        keys = keys[by]
-        begins[active[1:]] |= (keys[1:] != keys[:-1]) & (group[1:] == group[:-1])
-        alone = begins & np.concatenate((begins[1:], [True]))
-        active = np.flatnonzero(~alone)
-        if depth in marks:
-            out.append(np.cumsum(begins) - 1)
-    return order, out
-
-
-def _classes(run: int):
-    def classes(table):
-        kind, first = kinds(table)
-        distinct = table.select([0, 1, 2]).take(pa.array(first))
-        heads, tails, lefts = (c.to_pylist() for c in distinct.columns)
-        head = characters(heads, run)[:-1]
-        content = [*head, *characters(tails, max(map(len, tails))), *characters(lefts, max(map(len, lefts)))]
-        order, (group, _) = multikey_sort(content, (len(head), len(content)))
-        rank, by_kind = np.empty_like(order), np.empty_like(order)
-        rank[order], by_kind[order] = np.arange(len(order)), group
-        return rank[kind], by_kind[kind], group[0], group[-1]
-
-    return classes
+def neighbours(s: Suffixes, open_: np.ndarray, unit: Unit):
+    """Windows met earlier, and the first of each window of open classes: see anchors.resolve. A window that starts b bytes before its place needs b equal bytes there and window - b after it."""
+    right, after = common_prefixes(s.right, s.nr, s.width)
+    left, before = common_prefixes(s.left, s.nl, s.width)
+    rows, places, far, far_places = [], [], [], []
+    one, two = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+    for b in range(unit.window - unit.k + 1):
+        own = np.flatnonzero((s.nl >= b) & (s.nr >= unit.window - b))
+        if not len(own):
+            continue
+        one[right], two[left] = np.cumsum(after < unit.window - b), np.cumsum(before < b)
+        same = one[own] * len(s) + two[own]
+        by = np.argsort(same, kind="stable")  # rows are in the order of documents and places
+        new = np.concatenate(([True], same[by][1:] != same[by][:-1]))
+        for found, at, hit in ((rows, places, by[~new]), (far, far_places, by[new][open_[own[by[new]]]])):
+            found.append(own[hit])
+            at.append(np.full(len(hit), b))
+    rows, places, far, far_places = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, places, far, far_places))
+    return _spans(rows, places), (far, far_places)
+
+
+def _spans(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows at following places of a row as one span: row, first and last place."""
+    order = np.lexsort((places, rows))
+    rows, places = rows[order], places[order]
+    begin = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (places[1:] - places[:-1] > 1)))) if len(rows) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(rows)) - 1 if len(rows) else begin
+    return rows[begin], places[begin], places[end]
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -74,10 +58,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     the same document. Rows equal in doc_id and text are one document. Null texts are empty; texts under `window` bytes
     lose nothing; an empty table gives no rows. Other columns are not read.
     """
-    if run % 8 or run > window or window - run > 255:
-        raise ValueError("run must be a multiple of 8, and window at most 255 longer")
+    if run > window or window - run > 255:
+        raise ValueError("window must be longer than run, by 255 at most")
     unit = Unit(window, run, words=False)
-    rows = marked(docs.select("doc_id", "text"), unit, True, _classes(run))
+    rows = marked(docs.select("doc_id", "text"), unit, True, neighbours)
     schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary")])
 
     def strip(batches):

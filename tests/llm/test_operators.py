@@ -336,3 +336,38 @@ def test_there_is_a_query_for_each_operator():
     from lodestrand.llm import queries
 
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[bin(i).count("1") & 1 ^ flip] for i in range(n))
+
+
+def test_words_that_modular_hashes_confuse_stay(spark):
+    shared = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([*shared, thue_morse(1024, 0)])), (2, " ".join([*shared, thue_morse(1024, 1)])), (3, " ".join(f"u{i}" for i in range(50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(prefix_trees.digests(df)) == want(prefix_trees.brute_force(rows))
+    assert all(r.n_removed == 0 for r in prefix_trees.digests(df).collect())
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Over the chunks in which tokens are hashed, and with zero bytes."""
+    r = random.Random(5)
+    long = " ".join(f"{r.randrange(10**6)}" for _ in range(110_000))
+    passage = long[600_000:601_500]
+    rows = [(1, long), (2, "head " + passage + " tail"), (3, "\0" * 150), (4, "x" + "\0" * 120 + "y"), (5, None), (6, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(suffix_dedup.digests(df)) == want(suffix_dedup.brute_force(rows))
+    assert got(prefix_trees.digests(df)) == want(prefix_trees.brute_force(rows))
+
+
+def test_multikey_quicksort():
+    import numpy as np
+    from lodestrand.llm.anchors import _padded, common_prefixes
+
+    r = random.Random(8)
+    strings = list({bytes(r.choice(b"ab\0") for _ in range(r.randrange(40))) for _ in range(400)})
+    order, common = common_prefixes(_padded(strings), np.array([len(s) for s in strings]), 8)
+    assert [strings[i] for i in order] == sorted(strings)
+    for x, y, n in zip(sorted(strings), sorted(strings)[1:], common[1:]):
+        assert x[:n] == y[:n] and (x[n : n + 1] != y[n : n + 1] or n == min(len(x), len(y)))
