@@ -371,3 +371,66 @@ def test_multikey_quicksort():
     assert [strings[i] for i in order] == sorted(strings)
     for x, y, n in zip(sorted(strings), sorted(strings)[1:], common[1:]):
         assert x[:n] == y[:n] and (x[n : n + 1] != y[n : n + 1] or n == min(len(x), len(y)))
+
+
+def plain_ratio(texts: list[tuple[str, int]], word: str, strength=toxicity.STRENGTH) -> float:
+    """The log-likelihood ratio of a word, by counting its prefixes with dictionaries."""
+    import math
+    from collections import Counter
+
+    end, wide, d = b" ", toxicity.LETTERS + 1, toxicity.DISCOUNT
+    spelt = lambda w: (w.encode().lower() + end)[:wide]
+    counts = [Counter(), Counter()]
+    for text, y in texts:
+        for w in {spelt(w) for w in re.findall(r"[^\W_]+", text)}:
+            counts[y].update(w[:i] for i in range(1, len(w) + 1))
+    both = counts[0] + counts[1]
+
+    def at(c, g):
+        kids = [n for k, n in c.items() if len(k) == len(g) and k[:-1] == g[:-1]]
+        return c[g], sum(kids), len(kids)
+
+    total, s = 0.0, spelt(word)
+    for i in range(1, len(s) + 1):
+        (n, every, kinds), (o, all_o, kinds_o), (x, all_x, kinds_x) = (at(c, s[:i]) for c in (both, *counts))
+        if not every:
+            break
+        shared = (max(n - d, 0) + d * kinds / 256) / every
+        ordinary = (max(o - d, 0) + d * kinds_o / 256) / all_o if all_o else shared
+        total += math.log((max(x - d, 0) + (d * kinds_x + strength) * shared) / (all_x + strength)) - math.log(ordinary)
+    return total
+
+
+def test_kneser_ney_against_dictionaries():
+    import numpy as np
+
+    r = random.Random(12)
+    words = ["".join(r.choice("abé") for _ in range(r.randrange(1, 22))) for _ in range(60)]
+    texts = [(" ".join(r.choice(words) for _ in range(15)), int(r.random() < 0.3)) for _ in range(50)]
+    found = {}
+    for text, y in texts:
+        data = text.encode()
+        letters, size, _, _ = toxicity.distinct_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        for a, n in zip(letters, size):
+            found.setdefault(bytes(a[:n]), [0, 0])[y] += 1
+    keys = sorted(found)
+    table = np.array(keys, f"S{toxicity.LETTERS + 1}")
+    model = toxicity.learn(np.frombuffer(table.tobytes(), np.uint8).reshape(len(keys), -1), np.array(list(map(len, keys))), np.array([found[k] for k in keys]))
+    for word in words + ["zz", "abz", "a", "ABÉ".lower(), "b" * 40]:
+        data = word.encode()
+        letters, size, _, _ = toxicity.distinct_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert model.words(letters, size)[0] == pytest.approx(plain_ratio(texts, word), abs=1e-9), word
+
+
+def test_toxicity_edges(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["w1", "w2", "w3", "w4"]) for _ in range(30)) + (" vile awful" if i % 3 == 0 else "") for i in range(300)]
+    rows = [(i, t, 0.5, i % 2, "x") for i, t in enumerate(texts)] + [(None, "vile awful", None, None, None), (7, texts[7], None, 1, None), (900, "w1 " * 200_000 + "vile " * 2, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic int, words string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 1, "t") for i in range(300)] + [(5, None, 1, "t"), (None, 1, 1, "t"), (6, 1, 1, "t")], "doc_id long, toxic int, quality int, text string")
+    out = toxicity.predictions(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= p.score <= 1 for p in out)
+    assert len({p.score for p in out if p.doc_id == 7}) == 1
+    assert [p.predicted for p in out if p.doc_id == 12] == [1] and [p.predicted for p in out if p.doc_id == 13] == [0]
+    none = toxicity.predictions(docs, labels.where("toxic = 0"))
+    assert {p.predicted for p in none.collect()} == {0}
