@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -30,23 +31,43 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, by spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that the cluster shares, by spark.checkpoint.dir; where it is unset, a folder of the driver's, if that is the only machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrand-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestrand-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Bytes of a table, as the planner estimates them, for which a shuffle of whole rows takes a partition, up to the session's number.
-PART_BYTES = 256 << 10
+#: Bytes of the tables that a shuffle's rows come from, for which it takes a partition: up to the session's number, and beyond it.
+PART_BYTES, LARGE_BYTES = 256 << 10, 32 << 20
+MOST_PARTS = 20_000
 
 
 def spread(df: DataFrame) -> int:
-    """Partitions for a shuffle that moves whole rows of df: as many as it has, and as many as the session asks for, unless it is small."""
-    plan = df._jdf.queryExecution()
+    """Partitions for a shuffle that moves whole rows of df: the session's number, fewer for small tables and more for very large ones. Nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    needed = -(-int(str(plan.optimizedPlan().stats().sizeInBytes())) // PART_BYTES)
-    return max(plan.toRdd().getNumPartitions(), min(asked, needed), 1)
+    large = -(-size // LARGE_BYTES) if size < 1 << 56 else 0  # sizes beyond are guesses
+    return max(min(asked, -(-size // PART_BYTES)), min(large, MOST_PARTS), 1)
+
+
+#: A key with more than one of so many rows is hot; there are fewer hot keys than that.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with values, which has one row for each key and, in the column n, how many of the `total` rows have it.
+
+    Hot keys go by broadcast, at most HOT rows of values whatever the input's size, so that no key's rows gather in one task.
+    """
+    is_hot = F.col(n) * HOT > total
+    hot, cold = values.where(is_hot).drop(n), values.where(~is_hot).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, lookup
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,19 +15,18 @@ def components(edges: DataFrame) -> DataFrame:
     as one star a component. The number of rounds grows as the logarithm of the longest path.
     """
     pairs = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    size, state = pairs.count(), None
     while True:
+        # a node with many neighbours is a hot key of both joins
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        least = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("n"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = checkpoint(small)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = lookup(both, least, "u", "n", 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = lookup(large, least, "u", "n", size).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         found = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if found == state:
             break
-        state = found
+        state, size = found, found[0]
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -1,5 +1,8 @@
-"""Near copies by exact Jaccard likeness: MinHash bands give candidates, sets of word shingles decide.
+"""Near copies by exact Jaccard likeness: SimHash links and MinHash bands give candidates, sets of word shingles decide.
 
+SimHash alone can't: sets of likeness J differ in a bit with chance acos(2J / (1 + J)) / pi, 0.15 at 0.8, so of 64 bits about ten
+differ, and a radius that holds them holds strangers too. Its links (within RADIUS bits, by the Gray-order index) join dense
+groups at once; MinHash bands find the rest.
 Texts of one likeness J share a band with chance J^ROWS, and one of BANDS with 1 - (1 - J^ROWS)^BANDS: 0.99993 at 0.8. Distinct
 sets are nodes. A link is kept only if its two sets are like enough, so a pair without a common band is all that can be missed.
 
@@ -17,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, checkpoint, map_batches, per_text, spread
+from .common import WORD, checkpoint, lookup, map_batches, per_text, spread
 from .graph import components
+from .simhash import linked, majority, signed
 
 SEED = 42
 ROWS, BANDS = 5, 24
@@ -75,19 +79,27 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(digests, U64).view(np.int64).tolist()
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node (of its set of shingles), size (of the set) and band keys for each row."""
+NULL_ID = -(1 << 63)
+
+
+def keys(doc_id, text) -> tuple:
+    """What names a row: its doc_id (the least long for none) and a hash of its text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")
+
+
+def sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """id, h, node (of its set of shingles), size (of the set), fp (its SimHash) and band keys for each of rows(id, h, text)."""
 
     def factory():
         shingles = shingler(shingle)
 
         def sketch(text):
             hashes = shingles(text)
-            return node_of(hashes), len(hashes), band_keys(hashes)
+            return node_of(hashes), len(hashes), signed(majority(hashes)), band_keys(hashes)
 
         return sketch
 
-    return per_text(docs, "node long, size int, bands array<long>", factory)
+    return per_text(rows, "node long, size int, fp long, bands array<long>", factory, ("id", "h"))
 
 
 def alike(a: int, b: int) -> bool:
@@ -220,47 +232,61 @@ def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(held, T._parse_datatype_string("u long, v long"), check)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, hashes of wanted(node, doc_id). Other texts with the same doc_id are left out."""
+def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes of wanted(node, id, h)."""
 
     def factory():
         shingles = shingler(shingle)
+        return lambda text: (shingles(text).tobytes(),)
 
-        def hashed(text):
-            hashes = shingles(text)
-            return node_of(hashes), hashes.tobytes()
-
-        return hashed
+    return per_text(rows.join(wanted, ["id", "h"]).select("node", "text"), "hashes binary", factory, ("node",))
 
-    rows = docs.join(wanted.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")), F.col("doc_id") == F.col("__id")).select("__node", "text")
-    out = per_text(rows, "node long, hashes binary", factory, ("__node",))
-    return out.where("node = __node").select("node", "hashes")
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes(node, fp) whose fingerprints are neighbours among those that links within RADIUS bits join. One node stands for a fingerprint."""
+    of = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    pairs = linked(of.select("fp"), paths=True)
+    ends = (of.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}")) for x in "uv")
+    for end in ends:
+        pairs = pairs.join(end, end.columns[0])
+    return pairs.select(F.least("nu", "nv").alias("a"), F.greatest("nu", "nv").alias("b"))
 
-def groups(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node, component_id (the smallest doc_id reachable by links) for each row of docs(doc_id, text); no doc_id is null.
 
-    Texts without words are one node.
-    """
-    docs = docs.select("doc_id", "text")
-    prints = checkpoint(sketches(docs, shingle))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+def labelled(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of rows(id, h, text), and of each node its first row, how many rows it has, and its component."""
+    prints = checkpoint(sketches(rows, shingle))
+    row = F.struct((F.col("id") == NULL_ID).alias("none"), "id", "h")
+    nodes = prints.groupBy("node").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = checkpoint(nodes)
     met = checkpoint(_met(nodes))
-    pairs = met.where("size < 0").select("a", "b").distinct()
+    pairs = checkpoint(met.where("size < 0").select("a", "b").unionByName(_simhash_pairs(nodes)).distinct())
     large = met.where("size >= 0").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "size")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
-    sets = checkpoint(_sets(docs, nodes.select("node", "doc_id").join(wanted, "node"), shingle))
+    sets = checkpoint(_sets(rows, nodes.join(wanted, "node").select("node", "row.id", "row.h"), shingle))
     first = pairs.select(F.xxhash64("a", "b").alias("team"), F.explode(F.array("a", "b")).alias("node"))
     joined = components(_verified(first.select("team", "node", F.col("node").alias("component"), F.lit(True).alias("lead")), sets))
-    known = joined.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
-    large = large.join(known, F.col("node") == F.col("__node"), "left").select("bucket", "node", "size", F.coalesce("__component", "node").alias("component"))
+    large = large.join(joined, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
     more = _verified(_blocks(large), sets)
     found = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    found = nodes.select("node", "doc_id").join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
-    found = checkpoint(found.select("node", "doc_id", F.coalesce("component", "node").alias("component")))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    table = found.join(least, "component").select(F.col("node").alias("__node"), "component_id")
-    return prints.join(table, F.col("node") == F.col("__node")).select("doc_id", "node", "component_id")
+    found = nodes.select("node", "row", "n").join(found, "node", "left")
+    return prints.select("id", "h", "node"), checkpoint(found.withColumn("component", F.coalesce("component", "node")))
+
+
+def least_of_each(rows: DataFrame, shingle: int) -> DataFrame:
+    """id, h of the first row of each group of near copies, of rows(id, h, text)."""
+    _, nodes = labelled(rows, shingle)
+    return nodes.groupBy("component").agg(F.min("row").alias("row")).select("row.id", "row.h")
+
+
+def groups(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, node, component_id (the smallest doc_id reachable by links) for each row of docs(doc_id, text). Texts without words are one node; a null doc_id is never the smallest, unless all are null."""
+    prints, nodes = labelled(docs.select(*keys(F.col("doc_id"), F.col("text")), "text"), shingle)
+    size = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = nodes.groupBy("component").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("nodes"))
+    table = lookup(nodes.select("node", "n", "component"), least, "component", "nodes", size[0])
+    out = lookup(prints, table.select("node", F.col("first.id").alias("first"), "n"), "node", "n", size[1])
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return out.select(real("id").alias("doc_id"), "node", real("first").alias("component_id"))
 
 
 def brute_force(rows: list[tuple], shingle: int) -> list[tuple]:

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import near
-from .common import WORD, checkpoint, map_batches, per_text, spread
+from .common import WORD, checkpoint, lookup, map_batches, per_text, spread
 from .graph import components
 
 SEED = 42
@@ -44,26 +43,29 @@ def fingerprinter(shingle: int):
         joined = b" ".join(words)
         width = min(shingle, len(words))
         at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))).tolist()
-        hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(at, at[width:])], U64)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), STEP):
-            ones += np.unpackbits(hashes[i : i + STEP].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(U64)[0])
+        return majority(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(at, at[width:])], U64))
 
     return fingerprint
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), STEP):
+        ones += np.unpackbits(hashes[i : i + STEP].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(U64)[0])
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(docs: DataFrame, shingle: int, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep` and fp (the fingerprint's bits as a signed long) for each row. Texts without words have 0."""
 
     def factory():
         fingerprint = fingerprinter(shingle)
-
-        def signed(t):
-            x = fingerprint(t)
-            return (x - (1 << 64) if x >> 63 else x,)
-
-        return signed
+        return lambda t: (signed(fingerprint(t)),)
 
     return per_text(docs, "fp long", factory, keep, text)
 
@@ -174,8 +176,8 @@ def reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
-    """Edges u, v over distinct fps(fp): for each partition of buckets, each fingerprint and the least that it reaches there.
+def linked(fps: DataFrame, radius: int = RADIUS, agree: int = 1, paths: bool = False) -> DataFrame:
+    """Edges u, v over distinct fps(fp): for each partition of buckets, each fingerprint and the least that it reaches there; with `paths`, and the one before it in Gray order of those that reach one another, so that none has many edges.
 
     The bits are cut into radius + agree blocks, of which `agree` at least are equal in two fingerprints within the radius:
     each choice of so many blocks deals all fingerprints by their values. More than one keeps buckets small at a wide radius.
@@ -186,8 +188,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     choices = list(itertools.combinations(range(blocks), agree))
     masks = [sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in chosen) for chosen in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    values = [F.col("fp").bitwiseAND(F.lit(m)) for m in signed]
+    values = [F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks]
     dealt = fps.select("fp", F.posexplode(F.array(*values)).alias("block", "value")).select("block", "value", "fp")
 
     def index(batches):
@@ -202,6 +203,11 @@ def linked(fps: DataFrame, radius: int = RADIUS, agree: int = 1) -> DataFrame:
         label = forest.run(radius)
         nodes, at = np.unique(forest.fps.view(np.int64), return_inverse=True)
         least = reachable(len(nodes), at, at[label])
+        if paths:
+            order = np.lexsort((gray_rank(nodes.view(U64)), least))
+            same = least[order][1:] == least[order][:-1]
+            yield {"u": nodes[order][1:][same], "v": nodes[order][:-1][same]}
+            return
         hit = least != np.arange(len(nodes))
         yield {"u": nodes[hit], "v": nodes[least[hit]]}
 
@@ -215,25 +221,38 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, agree: int =
     never the smallest, unless all are null. An empty table gives no rows.
     """
     prints = checkpoint(fingerprints(docs.select("doc_id", "text"), shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(linked(nodes.select("fp"), radius, agree))
-    nodes = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = nodes.join(least, "component").select(F.col("fp").alias("node"), "component_id")
-    return prints.join(table, F.col("fp") == F.col("node"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    found = components(linked(nodes.select("fp"), radius, agree)).withColumnRenamed("node", "fp")
+    nodes = checkpoint(nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    size = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    table = lookup(nodes.select("fp", "n", "component"), least, "component", "nodes", size[0])
+    out = lookup(prints, table.select("fp", "component_id", "n"), "fp", "n", size[1])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near copies: word shingles. The radius links fingerprints in tests only; it is no bound for texts with a likeness of 0.8.
-NEAR_SHINGLE, NEAR_RADIUS = 5, 8
+#: Words of a shingle for near copies.
+NEAR_SHINGLE = 5
 
 
 def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their group, by exact likeness; of rows that share it, the one with the least text. Rows without a doc_id stay."""
-    named = docs.where("doc_id is not null")
-    least = near.groups(named, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("__least")).distinct()
-    kept = named.join(least, F.col("doc_id") == F.col("__least"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of docs for each group of near copies, with the columns of docs: that with the smallest doc_id, and of those the least hash of its text.
+
+    Fingerprints within RADIUS bits, by the Gray-order index, are candidates, as are texts with a common band of MinHashes
+    (near.py says why); exact likeness decides. Rows that agree in doc_id and text are copies. Rows without a doc_id come
+    last, so one of them stays only where all of its group are such. Null texts, empty ones and those without words are one
+    group. An empty table gives no rows. Columns of any name pass through.
+    """
+    from . import near
+
+    names = docs.columns
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
+    keys = near.keys(F.col(doc_id), F.col(text))
+    first = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64(*own.columns)))
+    rows = own.select("*", *keys).withColumn("first", first).where("first = 1").drop("first")
+    kept = near.least_of_each(own.select(*keys, F.col(text).alias("text")), shingle)
+    return rows.join(kept, ["id", "h"], "left_semi").select(*own.columns).toDF(*names)
 
 
 def brute_force(rows: list[tuple], shingle: int = 3, radius: int = RADIUS) -> list[tuple]:
