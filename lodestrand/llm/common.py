@@ -56,13 +56,13 @@ def spread(df: DataFrame) -> int:
 
 
 #: A key with more than one of so many rows is hot; there are fewer hot keys than that.
-HOT = 1000
+HOT = 10_000
 
 
-def lookup(rows: DataFrame, values: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """rows joined with values, which has one row for each key and, in the column n, how many of the `total` rows have it.
+def lookup(rows: DataFrame, values: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
+    """rows joined with values, which has one row for each key and, in the column n, how many rows have it. `total` is the number of rows, or at least half of it.
 
-    Hot keys go by broadcast, at most HOT rows of values whatever the input's size, so that no key's rows gather in one task.
+    Hot keys go by broadcast, at most 2 * HOT rows of values whatever the input's size, so that no key's rows gather in one task.
     """
     is_hot = F.col(n) * HOT > total
     hot, cold = values.where(is_hot).drop(n), values.where(~is_hot).drop(n)
