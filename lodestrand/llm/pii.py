@@ -9,6 +9,7 @@ looser candidates. Base spans always stay.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -47,7 +48,8 @@ DIGIT = re.compile(r"[0-9]")
 LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,5}", re.I),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "phone": re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"),
+    "phone": re.compile(r"(?:\+[0-9]{1,3}[ .-]|(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[ .-])?)\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])"),
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"),
 }
 
 
@@ -101,12 +103,22 @@ def loose_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             found += [("ip", *m.span()) for m in LOOSE["ip"].finditer(text)]
         found += [("phone", *m.span()) for m in LOOSE["phone"].finditer(text)]
         found += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(m[0].replace(" ", "").replace("-", "")) <= 19]
-    busy = sorted((a, b) for _, a, b in taken)
+    if DIGIT.search(text):
+        found += [("card", *m.span()) for m in LOOSE["card"].finditer(text)]
+    # taken spans as disjoint ones in order, and the end of the last that was found
+    starts, ends, last = [], [], 0
+    for _, a, b in sorted(taken, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
     for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
-        if all(b <= x or y <= a for x, y in busy):
+        at = bisect.bisect_left(starts, b)
+        if a >= last and (not at or ends[at - 1] <= a):
             out.append((kind, a, b))
-            busy.append((a, b))
+            last = b
     return out
 
 
@@ -202,7 +214,7 @@ def features(p: str) -> np.ndarray:
     return np.array([*kind, *(vote > 0), *(vote < 0), vote[0] * vote[1], vote[1] * vote[2], float(vote.sum() > 1)])
 
 
-def train(patterns: list[tuple[str, int]], posterior: dict[str, float], steps: int = 60, ridge: float = 1.0) -> np.ndarray:
+def train(patterns: list[tuple[str, int]], posterior: dict[str, float], steps: int = 60, ridge: float = 0.1) -> np.ndarray:
     """Weights of a logistic model of the posteriors, each pattern as often as it is met (on a logarithmic scale, so that rare ones count)."""
     x = np.array([features(p) for p, _ in patterns])
     y = np.array([posterior[p] for p, _ in patterns])
@@ -260,6 +272,11 @@ def _count_of(kind: str) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of base spans, base_sha256 and spans for each row of docs(doc_id, text).
+
+    Null and empty texts have no spans; texts of any length are read whole, in time that grows as their length. Repeated rows
+    stay, and each counts in the estimates. An empty table gives no rows. Other columns are not read.
+    """
     out = find(docs)
     n = [_count_of(k).alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *n, F.sha2(_text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"), _text_of(F.col("found")).alias("spans"))
