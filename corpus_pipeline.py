@@ -9,32 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import bpe, mixing, pii, quality, simhash
-from lodestrand.llm.common import shared_folder, table
+from lodestrand.llm.common import checkpoint, shared_folder, table
 from lodestrand.llm.queries import good_documents, tokenizer
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, with bands around the texts that `labels` calls good."""
+    """Documents that pass the quality rules, with bands around the texts that `labels` calls good.
+
+    Null, empty and short texts go, as they fail the base rules; very long ones are read whole; repeated rows go or stay
+    alike; an empty table gives none. All columns pass.
+    """
     return quality.kept(docs, quality.fit(good_documents(spark, sf_dir)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """One document of each group of near copies: that with the smallest doc_id.
+
+    SimHash links are candidates, as are common bands of MinHashes; five-word shingles with a likeness of 0.8 decide. Texts
+    without words are one group; different texts with one doc_id both stay; of rows that agree in doc_id and text one stays; a
+    row without doc_id stays where all of its group are such. All columns pass.
+    """
     return simhash.one_of_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind, and n_chars by the text's new length. Null texts stay null (n_chars null); repeated rows stay; all columns pass."""
     return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
+    """Documents as often as the target weights of their sources ask for. Texts without words are never taken; a null source is one of its own; rows that repeat each count; all columns pass."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text's bytes."""
+    """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text's bytes, for each row. A null text is an empty one; repeated rows stay."""
     ranks, pattern = tokenizer()
     out = bpe.round_trip(docs, ranks, pattern, ("doc_id", "lang", "source", "text"))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
@@ -54,7 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. The others are written below the shared folder, and each goes once the next is written."""
+    """The rows of the last stage, checkpointed. The others are written below the shared folder, and each goes once the next is written."""
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
 
@@ -66,7 +75,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.parquet(f"{root}/{k}")
 
     docs = reduce(written, enumerate(STAGES[:-1]), docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    _remove(spark, root)
+    return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:
