@@ -10,6 +10,8 @@ from . import timeline
 MATCH_RADIUS = 8.0
 QUIET_RADIUS, QUIET_RATIO = 2.0, 10.0
 DIVERGENCE = 3.0
+#: Boundaries of a file that are broadcast at most.
+MOST_BROADCAST = 100_000
 
 
 def fixed(ends: DataFrame, interval: float, end: str = "last_end_s", by: str = "stream_id") -> DataFrame:
@@ -26,9 +28,13 @@ def manual(ends: DataFrame, times: list[float], start: float = 0.0, end: str = "
 
 
 def external(ends: DataFrame, boundaries: DataFrame, start: float = 0.0, end: str = "last_end_s", by: str = "stream_id") -> DataFrame:
-    """boundaries(time_seconds, source, reference_offset) in (start, end], duplicates kept, ordered by time, source, reference (null: -1)."""
+    """boundaries(time_seconds, source, reference_offset) in (start, end], duplicates kept, ordered by time, source, reference (null: -1): of their own stream, if they name one, else of all."""
     order = Window.partitionBy(by).orderBy("time_seconds", "source", F.coalesce("reference_offset", F.lit(-1)))
-    out = ends.join(F.broadcast(boundaries), (F.col("time_seconds") > start) & (F.col("time_seconds") <= F.col(end)))  # a list given with the call
+    if "stream_id" in boundaries.columns:  # each of one stream
+        out = ends.join(boundaries, by)
+    else:  # all of every stream: the result has streams x boundaries rows, whatever the join
+        out = ends.crossJoin(F.broadcast(boundaries) if boundaries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else boundaries)
+    out = out.where((F.col("time_seconds") > start) & (F.col("time_seconds") <= F.col(end)))
     return out.select(by, F.row_number().over(order).alias("n"), "time_seconds", "source", "reference_offset")
 
 

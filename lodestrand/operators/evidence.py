@@ -12,10 +12,13 @@ import statistics
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import timeline
 from .detect import fold
 
 BY = "stream_id"
 RADIUS = 3.0
+#: How far from a reference evidence is looked for, in seconds.
+REACH = 24.0
 HYPOTHESIS = "hyp_id long, time_s double, n_basin int, n_structural int, depth double, novelty double, start_s double, minimum_s double, recovery_s double"
 
 
@@ -59,11 +62,12 @@ def confidence(hypotheses: DataFrame, between: Column, deepest: float = 0.06, no
     return hypotheses.withColumn("confidence", F.when(F.coalesce(high, F.lit(False)), "HIGH").otherwise("UNRESOLVED"))
 
 
-def around(references: DataFrame, hypotheses: DataFrame, reach: float = 24.0, by: str = BY) -> DataFrame:
+def around(references: DataFrame, hypotheses: DataFrame, reach: float = REACH, by: str = BY) -> DataFrame:
     """references(k, reference_s), each with the array `hyps` of hypotheses within reach, by time. A window holds few."""
-    h = hypotheses.select(F.col(by).alias("__k"), F.struct("time_s", *[c for c in hypotheses.columns if c not in (by, "time_s")]).alias("h"))
-    pairs = references.join(h, (F.col(by) == F.col("__k")) & (F.abs(F.col("h.time_s") - F.col("reference_s")) <= reach), "left")
-    return pairs.groupBy(*references.columns).agg(F.array_sort(F.collect_list("h")).alias("hyps"))
+    h = hypotheses.select(by, F.col("time_s").alias("__t"), F.struct("time_s", *[c for c in hypotheses.columns if c not in (by, "time_s")]).alias("h"))
+    found = timeline.near(references, h, "reference_s", "__t", reach, by).groupBy(*references.columns).agg(F.array_sort(F.collect_list("h")).alias("hyps"))
+    kind = found.schema["hyps"].dataType.simpleString()
+    return references.join(found, references.columns, "left").withColumn("hyps", F.coalesce("hyps", F.array().cast(kind)))
 
 
 IS_SUPPORTED = "({h}.n_basin > 0 and {h}.n_structural > 0 and {h}.start_s is not null)"
@@ -95,8 +99,8 @@ def asymmetric_regions(contexts: DataFrame) -> DataFrame:
 
 def outgoing_association(contexts: DataFrame, fades: DataFrame, by: str = BY) -> DataFrame:
     """by, k, out: of outgoing fades that start by the reference and its hypotheses, the closest pair."""
-    f = fades.select(F.col(by).alias("__k"), F.struct("start_idx", "start_s", "floor_s", "floor_rms", "rise_s", "descent_ratio", "descent_consistency").alias("f"))
-    x = contexts.join(f, (F.col(by) == F.col("__k")) & (F.col("f.start_s") <= F.col("reference_s")) & (F.abs(F.col("f.floor_s") - F.col("reference_s")) <= 24))
+    f = fades.select(by, F.col("floor_s").alias("__t"), F.struct("start_idx", "start_s", "floor_s", "floor_rms", "rise_s", "descent_ratio", "descent_consistency").alias("f"))
+    x = timeline.near(contexts, f, "reference_s", "__t", REACH, by).where("f.start_s <= reference_s")
     x = x.select(by, "k", "f", F.explode("hyps").alias("h"))
     gap = F.abs(F.col("f.floor_s") - F.col("h.time_s"))
     order = F.struct(gap, -F.col("f.descent_consistency"), -F.col("f.descent_ratio"), -F.col("f.floor_s"), F.col("f.start_idx"), F.col("h.hyp_id"))
@@ -105,8 +109,8 @@ def outgoing_association(contexts: DataFrame, fades: DataFrame, by: str = BY) ->
 
 def incoming_association(contexts: DataFrame, fades: DataFrame, by: str = BY) -> DataFrame:
     """by, k, inc: of incoming fades established from the reference on, each with its closest hypothesis from its start on, the closest pair."""
-    f = fades.select(F.col(by).alias("__k"), F.struct("start_idx", "start_s", "established_s", "ascent_ratio", "ascent_consistency", "persistence_ratio").alias("f"))
-    x = contexts.join(f, (F.col(by) == F.col("__k")) & (F.col("f.established_s") >= F.col("reference_s")) & (F.col("f.established_s") - F.col("reference_s") <= 24))
+    f = fades.select(by, F.col("established_s").alias("__t"), F.struct("start_idx", "start_s", "established_s", "ascent_ratio", "ascent_consistency", "persistence_ratio").alias("f"))
+    x = timeline.near(contexts, f, "reference_s", "__t", REACH, by).where("f.established_s >= reference_s")
     x = x.withColumn("anchor", F.when(F.col("f.start_s") >= F.col("reference_s"), F.col("f.start_s")).otherwise(F.col("f.established_s")))
     x = x.select(by, "k", "reference_s", "f", "anchor", F.explode("hyps").alias("h")).where("h.time_s >= f.start_s")
     gap = F.abs(F.col("anchor") - F.col("h.time_s"))
@@ -117,8 +121,8 @@ def incoming_association(contexts: DataFrame, fades: DataFrame, by: str = BY) ->
 
 def fade_floor(contexts: DataFrame, fades: DataFrame, by: str = BY) -> DataFrame:
     """by, k, floor_s, handoff_id: the deepest floor, if it is the only one so deep, has no rise and lies by the reference, with the only supported basin around it; else, if later fades start by the reference, the floor alone."""
-    f = fades.select(F.col(by).alias("__k"), F.struct("start_s", "floor_s", "floor_rms", "rise_s").alias("f"))
-    x = contexts.join(f, (F.col(by) == F.col("__k")) & (F.abs(F.col("f.floor_s") - F.col("reference_s")) <= 24))
+    f = fades.select(by, F.col("floor_s").alias("__t"), F.struct("start_s", "floor_s", "floor_rms", "rise_s").alias("f"))
+    x = timeline.near(contexts, f, "reference_s", "__t", REACH, by)
     x = x.groupBy(by, "k", "reference_s", "hyps").agg(F.collect_list("f").alias("fades"))
     x = x.withColumn("deepest", F.expr("filter(fades, f -> f.floor_rms = array_min(transform(fades, g -> g.floor_rms)))")).where("size(deepest) = 1").withColumn("d", F.get("deepest", F.lit(0)))
     x = x.where("d.rise_s is null and d.floor_s <= reference_s")

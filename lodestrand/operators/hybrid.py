@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import timeline
+
 BY = "stream_id"
 
 
@@ -33,8 +35,8 @@ def incoming_basin(pairs: DataFrame, keys: list[str], nearest: float = 0.5, fart
 
 def crossfade_rise(references: DataFrame, rises: DataFrame, keys: list[str], delay: float = 1.0, by: str = BY) -> DataFrame:
     """keys, rise_s: the last rise at least `delay` after the reference."""
-    r = rises.select(F.col(by).alias("__k"), F.col("rise_s"))
-    return references.join(r, (F.col(by) == F.col("__k")) & (F.col("rise_s") - F.col("reference_s") >= delay)).groupBy(*keys).agg(F.max("rise_s").alias("rise_s"))
+    last = rises.groupBy(by).agg(F.max("rise_s").alias("rise_s"))  # the stream's last is the last after any reference
+    return references.select(*keys).join(last, by).where(F.col("rise_s") - F.col("reference_s") >= delay)
 
 
 def resolve(references: DataFrame, basins: DataFrame, rises: DataFrame, by: str = BY) -> DataFrame:

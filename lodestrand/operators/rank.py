@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import vectors as V
 
+from . import timeline
+
 BY = "stream_id"
 
 
@@ -31,9 +33,9 @@ def minimax(candidates: DataFrame, by: str = BY) -> DataFrame:
 def union_candidates(references: DataFrame, basins: DataFrame, series: DataFrame, nearest: float = 1.0, farthest: float = 7.0, by: str = BY) -> DataFrame:
     """For each reference(k, reference_s): basins(time_s) nearest..farthest before it, and the local maxima of series(time_s, strength) there, by milliseconds, with their sources in that order."""
     reach = F.col("reference_s") - F.col("time_s")
-    keyed = references.withColumnRenamed(by, "__k")
-    a = basins.join(keyed, F.col(by) == F.col("__k")).where(reach.between(nearest, farthest)).select(by, "k", "time_s", F.lit(0).alias("o"), F.lit("BASIN").alias("source"))
-    grid = series.join(keyed, F.col(by) == F.col("__k")).where(reach.between(nearest, farthest))
+    met = lambda rows: timeline.near(references, rows, "reference_s", "time_s", farthest, by).where(reach.between(nearest, farthest))
+    a = met(basins).select(by, "k", "time_s", F.lit(0).alias("o"), F.lit("BASIN").alias("source"))
+    grid = met(series)
     w = Window.partitionBy(by, "k").orderBy("time_s")
     grid = grid.withColumn("b", F.lag("strength").over(w)).withColumn("n", F.lead("strength").over(w)).where("(b is null or strength >= b) and (n is null or strength >= n)")
     b = grid.select(by, "k", "time_s", F.lit(1).alias("o"), F.lit("D2").alias("source"))

@@ -36,6 +36,11 @@ def _placed(probes: DataFrame, rows: DataFrame, at: str, pos: str, tie: str, wid
     return found.where("__kind = 1").join(tops, [by, "__b"]).select("__probe.*", *hits)
 
 
+def placed(probes: DataFrame, rows: DataFrame, at: str, pos: str, tie: str = "idx", width: float = 64, by: str = "stream_id") -> DataFrame:
+    """probes with `before`, the last row with pos <= at, and `after`, the first with pos > at; null where there is none."""
+    return _placed(probes, rows, at, pos, tie, width, by, True, True).withColumnsRenamed({"__back": "before", "__next": "after"})
+
+
 def as_of(probes: DataFrame, rows: DataFrame, at: str, pos: str, tie: str = "idx", forward: bool = False, width: float = 4096, by: str = "stream_id") -> DataFrame:
     """probes and `hit`, a struct of the last row with pos <= at (forward: the first with pos > at); null where there is none."""
     out = _placed(probes, rows, at, pos, tie, width, by, not forward, forward)
@@ -89,8 +94,10 @@ def aligned(decisions: DataFrame, frames: DataFrame, by: str = "stream_id") -> D
     with null offsets; an exclusion whose edges meet is a HARD_CUT.
     """
     names = decisions.columns
-    out = nearest(decisions, frames, "incoming_start_s", by=by).withColumn("__in", F.col("hit.offset")).drop("hit")
-    out = nearest(out, frames, "outgoing_end_s", by=by).withColumn("__out", F.col("hit.offset")).drop("hit").join(bounds(frames, by).select(by, "first_s", "last_end_s"), by)
+    whole = decisions.withColumn("__d", F.struct(*names)).withColumn("__id", F.monotonically_increasing_id())
+    edges = whole.select(by, "__id", F.posexplode(F.array("incoming_start_s", "outgoing_end_s")).alias("__edge", "__at"))
+    edges = nearest(edges, frames, "__at", by=by).groupBy(by, "__id").agg(*[F.max(F.when(F.col("__edge") == i, F.col("hit.offset"))).alias(n) for i, n in enumerate(("__in", "__out"))])
+    out = whole.join(edges, [by, "__id"]).join(bounds(frames, by).select(by, "first_s", "last_end_s"), by)
     outside = F.lit(False)
     for t in ("incoming_start_s", "outgoing_end_s"):
         outside = outside | (F.col(t) < F.col("first_s")) | (F.col(t) > F.col("last_end_s"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrand.operators import detect as D
 from lodestrand.sources import bindings as B
 
+from .fade_sql import BASINS, INCOMING, OUTGOING, PAIRS, SMOOTH
 from .timeline_queries import FIXED_SQL, _fixed
 
 BASIN = {"base": 6, "recovery": 3, "longest": 20, "start_ratio": 0.5, "hold": 0.7, "back": 0.5, "rise": 2.0}
@@ -17,8 +18,8 @@ def _features(spark, sf):
     return D.structural_features(B.pcm(spark, sf), 5)
 
 
-def _round(df, *names):
-    return df.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns])
+def _round(df, *names, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def q14_rms_profile(spark, sf):
@@ -71,7 +72,7 @@ def q24_outgoing_fades(spark, sf):
 
 
 def q25_incoming_fades(spark, sf):
-    return _round(D.incoming_fades(B.levels(spark, sf)), "ascent_ratio", "ascent_consistency", "persistence_ratio")
+    return _round(D.incoming_fades(B.levels(spark, sf)), "ascent_ratio", "ascent_consistency", "persistence_ratio", digits=9)
 
 
 def q26_fade_pairs(spark, sf):
@@ -125,6 +126,27 @@ SQL = {
         select stream_id, arg_max(t, n) as time_s, arg_max(s, n) as strength from wk group by stream_id, seg""",
         recursive=True,
     ),
+    "q19_adaptive_basin": B.with_sql(
+        "lv",
+        BASINS + " select k.stream_id, k.idx as start_idx, m as minimum_idx, r as recovery_idx, base as baseline, low as minimum_rms, low / greatest(base, 1e-12::double) as depth from bk k join bg on bg.stream_id = k.stream_id and bg.i = k.idx",
+        recursive=True,
+    ),
+    "q24_outgoing_fades": B.with_sql(
+        "lv",
+        OUTGOING + " select * replace (round(descent_ratio, 6) as descent_ratio, round(descent_consistency, 6) as descent_consistency) from og",
+        recursive=True,
+    ),
+    "q25_incoming_fades": B.with_sql(
+        "lv",
+        SMOOTH + ", " + INCOMING + " select * replace (round(ascent_ratio, 9) as ascent_ratio, round(ascent_consistency, 9) as ascent_consistency, round(persistence_ratio, 9) as persistence_ratio) from ig",
+        recursive=True,
+    ),
+    "q26_fade_pairs": B.with_sql(
+        "lv",
+        OUTGOING + ", " + INCOMING + ", " + PAIRS
+        + " select *, incoming_start_s - floor_s as separation_s, greatest(0.0::double, floor_s - incoming_start_s) as overlap_s, greatest(0.0::double, incoming_start_s - floor_s) as gap_s from fp",
+        recursive=True,
+    ),
     "q20_quiet_basin": B.with_sql(
         "lv",
         """x as (select *, lag(rms) over w as b, lead(rms) over w as a, median(rms) over (partition by stream_id) as overall, median(rms) over (partition by stream_id order by idx rows between 6 preceding and 6 following) as around

@@ -12,6 +12,7 @@ from lodestrand.operators import routing as R
 from lodestrand.operators import specialists as P
 from lodestrand.sources import bindings as B
 
+from .fade_sql import INCOMING, OUTGOING
 from .detector_queries import NOVELTY_SQL, _features, _outgoing, _round
 from .timeline_queries import FIXED_SQL, MINIMA_SQL, _ends, _fixed
 
@@ -126,6 +127,12 @@ wk as (select stream_id, n, time_s as anchor, 0::bigint as hyp_id from pn where
 hy as (select stream_id, hyp_id, median(time_s) as time_s, cast(count(*) filter (where source = 'BASIN') as int) as n_basin, cast(count(*) filter (where source = 'STRUCTURAL') as int) as n_structural, min(depth) as depth, max(strength) as novelty,
   arg_min(start_s, n) filter (where source = 'BASIN') as start_s, arg_min(time_s, n) filter (where source = 'BASIN') as minimum_s, arg_min(recovery_s, n) filter (where source = 'BASIN') as recovery_s from pn join wk using (stream_id, n) group by stream_id, hyp_id),
 sf as (select *, n_basin > 0 and n_structural > 0 as sup, (n_basin > 0) <> (n_structural > 0) as comp from hy)"""
+FADES_SQL = OUTGOING + ", " + INCOMING + """, ao as (select stream_id, k, p.* from (select c.stream_id, c.k, arg_min({'floor': f.floor_s, 'f': f.start_idx, 'h': c.hyp_id, 'd': abs(f.floor_s - c.time_s)},
+    row(abs(f.floor_s - c.time_s), -f.descent_consistency, -f.descent_ratio, -f.floor_s, f.start_idx, c.hyp_id)) as p from cx c join og f on f.stream_id = c.stream_id and f.start_s <= c.ref and abs(f.floor_s - c.ref) <= 24 group by c.stream_id, c.k)),
+  ax as (select c.*, f.start_idx as fi, f.start_s as fs, f.ascent_consistency as fc, f.ascent_ratio as fr, f.persistence_ratio as fq, case when f.start_s >= c.ref then f.start_s else f.established_s end as anchor
+    from cx c join ig f on f.stream_id = c.stream_id and f.established_s >= c.ref and f.established_s - c.ref <= 24 and c.time_s >= f.start_s),
+  ay as (select stream_id, k, ref, fi, fs, fc, fr, fq, anchor, arg_min({'h': hyp_id, 'd': abs(anchor - time_s)}, row(abs(anchor - time_s), time_s, hyp_id)) as b from ax group by all),
+  ai as (select stream_id, k, p.* from (select stream_id, k, arg_min({'start': fs, 'f': fi, 'h': b.h, 'd': b.d}, row(b.d, abs(anchor - ref), -fc, -fr, -fq, anchor, fi)) as p from ay group by stream_id, k))"""
 ALL_SQL = FIXED_SQL + ", " + PROPOSALS_SQL + ", cx as (select ca.stream_id, k, candidate_s as ref, sf.* exclude (stream_id) from ca join sf on sf.stream_id = ca.stream_id and abs(time_s - candidate_s) <= 24)"
 
 SQL = {
@@ -148,6 +155,13 @@ SQL = {
     from pr where not exists (select 1 from cx c where c.stream_id = pr.stream_id and c.k = pr.k and c.time_s > pr.time_s and c.time_s < pr.c_t and c.sup)""",
         recursive=True,
     ),
+    "q59_fade_association": B.with_sql(
+        "fr pc",
+        ALL_SQL + ", " + FADES_SQL
+        + """ select coalesce(ao.stream_id, ai.stream_id) as stream_id, coalesce(ao.k, ai.k) as k, ao.floor as outgoing_floor_s, ao.h as outgoing_id, ao.d as outgoing_distance_s, ai.start as incoming_start_s, ai.h as incoming_id, ai.d as incoming_distance_s
+    from ao full join ai on ai.stream_id = ao.stream_id and ai.k = ao.k""",
+        recursive=True,
+    ),
     "q61_specialist_geometry": B.with_sql(
         "fr pc",
         ALL_SQL
