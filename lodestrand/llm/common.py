@@ -70,6 +70,24 @@ def lookup(rows: DataFrame, values: DataFrame, key: str | list[str], n: str, tot
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
+#: A key with more than one of so many rows is split, into pieces of about so many rows.
+SPLIT = 1000
+
+
+def split_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows joined with values, which has one row for each key: those of a hot key in pieces, each of which gets a copy of the value.
+
+    Which keys are hot goes by broadcast: under SPLIT numbers, whatever the input's size. rows are read three times.
+    """
+    total = rows.count()
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * SPLIT > total)
+    hot = F.broadcast(n.select(key, F.ceil(F.col("__n") * SPLIT / max(1, total)).cast("int").alias("__copies")))
+    copies = F.coalesce("__copies", F.lit(1))
+    left = rows.withColumn("__piece", F.xxhash64(*rows.columns)).join(hot, key, "left").withColumn("__piece", F.pmod("__piece", copies).cast("int")).drop("__copies")
+    right = values.join(hot, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    return left.join(right, [key, "__piece"]).drop("__piece")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batch in pieces of about `most` bytes of `column`; a longer text is a piece of its own."""
     lengths = _lengths(batch.column(batch.schema.get_field_index(column)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, checkpoint, lookup, map_batches, per_text, spread
+from .common import WORD, checkpoint, lookup, map_batches, per_text, split_join, spread
 from .graph import components
 from .simhash import linked, majority, signed
 
@@ -29,7 +29,7 @@ ROWS, BANDS = 5, 24
 #: The least likeness of near copies, as a fraction.
 LIKE = (4, 5)
 #: Buckets of up to so many nodes are met pair by pair at once; larger ones by neighbours in so many bands.
-SMALL, FIRST_BANDS = 4, 4
+SMALL, FIRST_BANDS = 4, 2
 #: Sets in a block of the second round.
 BLOCK = 256
 U64 = np.uint64
@@ -204,8 +204,8 @@ def links_of(nodes: list[int], components: list[int], leads: list[bool], sets: l
 
 
 def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links u, v among members(team, node, component, lead), by sets(node, hashes)."""
-    held = members.join(sets, "node").select("team", "node", "component", "lead", "hashes")
+    """Links u, v among members(team, node, component, lead), by sets(node, hashes). A node that leads many teams is a hot key."""
+    held = split_join(members, sets, "node").select("team", "node", "component", "lead", "hashes")
     held = held.repartition(spread(held), "team").sortWithinPartitions("team")
 
     def check(batches):
@@ -263,10 +263,11 @@ def labelled(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     large = met.where("size >= 0").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "size")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
     sets = checkpoint(_sets(rows, nodes.join(wanted, "node").select("node", "row.id", "row.h"), shingle))
-    first = pairs.select(F.xxhash64("a", "b").alias("team"), F.explode(F.array("a", "b")).alias("node"))
-    joined = components(_verified(first.select("team", "node", F.col("node").alias("component"), F.lit(True).alias("lead")), sets))
+    others = pairs.select(F.col("a").alias("team"), F.col("b").alias("node"), F.col("b").alias("component"), F.lit(False).alias("lead"))
+    leads = pairs.select(*[F.col("a").alias(c) for c in ("team", "node", "component")], F.lit(True).alias("lead")).distinct()
+    joined = components(_verified(others.unionByName(leads), sets))
     large = large.join(joined, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-    more = _verified(_blocks(large), sets)
+    more = _verified(checkpoint(_blocks(large)), sets)
     found = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     found = nodes.select("node", "row", "n").join(found, "node", "left")
     return prints.select("id", "h", "node"), checkpoint(found.withColumn("component", F.coalesce("component", "node")))
