@@ -1,8 +1,8 @@
 """Evidence around references: clusters of proposals, regions between supported edges, fade associations, floors, confidence.
 
 A hypothesis has hyp_id, time_s, n_basin, n_structural (its proposals by source), depth, novelty (strongest structural), and
-the geometry of its first basin (start_s, minimum_s, recovery_s; null without). Ids stand for identity: equal values are
-still two hypotheses.
+the geometry of its first basin (start_s, minimum_s, recovery_s; null without), and peak_s and last_peak_s (the times of its
+strongest and its last structural proposal). Ids stand for identity: equal values are still two hypotheses.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ BY = "stream_id"
 RADIUS = 3.0
 #: How far from a reference evidence is looked for, in seconds.
 REACH = 24.0
-HYPOTHESIS = "hyp_id long, time_s double, n_basin int, n_structural int, depth double, novelty double, start_s double, minimum_s double, recovery_s double"
+HYPOTHESIS = "hyp_id long, time_s double, n_basin int, n_structural int, depth double, novelty double, start_s double, minimum_s double, recovery_s double, peak_s double, last_peak_s double"
 
 
 def clusters(proposals: DataFrame, radius: float = RADIUS, by: str = BY) -> DataFrame:
@@ -38,7 +38,9 @@ def clusters(proposals: DataFrame, radius: float = RADIUS, by: str = BY) -> Data
             basins = [r for r in g if r.source == "BASIN"]
             peaks = [r.strength for r in g if r.source == "STRUCTURAL"]
             geometry = (basins[0].start_s, basins[0].time_s, basins[0].recovery_s) if basins else (None, None, None)
-            out.append((i, statistics.median(r.time_s for r in g), len(basins), len(peaks), min((r.depth for r in basins), default=None), max(peaks, default=None), *geometry))
+            loud = max((r for r in g if r.source == "STRUCTURAL"), key=lambda r: (r.strength, r.time_s), default=None)
+            last = max((r.time_s for r in g if r.source == "STRUCTURAL"), default=None)
+            out.append((i, statistics.median(r.time_s for r in g), len(basins), len(peaks), min((r.depth for r in basins), default=None), max(peaks, default=None), *geometry, loud.time_s if loud else None, last))
         return out
 
     return fold(proposals, HYPOTHESIS, step, by, "time_s")
@@ -121,14 +123,34 @@ def incoming_association(contexts: DataFrame, fades: DataFrame, by: str = BY) ->
 
 def fade_floor(contexts: DataFrame, fades: DataFrame, by: str = BY) -> DataFrame:
     """by, k, floor_s, handoff_id: the deepest floor, if it is the only one so deep, has no rise and lies by the reference, with the only supported basin around it; else, if later fades start by the reference, the floor alone."""
-    f = fades.select(by, F.col("floor_s").alias("__t"), F.struct("start_s", "floor_s", "floor_rms", "rise_s").alias("f"))
+    f = fades.select(by, F.col("floor_s").alias("__t"), F.struct("start_s", "floor_s", "floor_rms", "rise_s", "start_idx").alias("f"))
     x = timeline.near(contexts, f, "reference_s", "__t", REACH, by)
     x = x.groupBy(by, "k", "reference_s", "hyps").agg(F.collect_list("f").alias("fades"))
     x = x.withColumn("deepest", F.expr("filter(fades, f -> f.floor_rms = array_min(transform(fades, g -> g.floor_rms)))")).where("size(deepest) = 1").withColumn("d", F.get("deepest", F.lit(0)))
     x = x.where("d.rise_s is null and d.floor_s <= reference_s")
     x = x.withColumn("owners", F.expr(f"filter(hyps, h -> {IS_SUPPORTED.format(h='h')} and h.time_s >= d.floor_s and d.floor_s between h.start_s and h.recovery_s)"))
     x = x.withColumn("later", F.expr("exists(fades, f -> f.start_s > d.floor_s and f.start_s <= reference_s)"))
-    return x.where("size(owners) = 1 or later").select(by, "k", F.col("d.floor_s").alias("floor_s"), F.expr("if(size(owners) = 1, get(owners, 0).hyp_id, null)").alias("handoff_id"))
+    return x.where("size(owners) = 1 or later").select(by, "k", F.col("d.floor_s").alias("floor_s"), F.col("d.start_idx").alias("floor_fade"), F.expr("if(size(owners) = 1, get(owners, 0).hyp_id, null)").alias("handoff_id"))
+
+
+OUTGOING = ("start_idx", "start_s", "floor_s", "start_rms", "floor_rms", "rise_s", "descent_ratio", "descent_consistency")
+INCOMING = ("start_idx", "start_s", "established_s", "ascent_ratio", "ascent_consistency", "persistence_ratio")
+
+
+def with_fades(contexts: DataFrame, outgoing: DataFrame, incoming: DataFrame, pairs: DataFrame, by: str = BY) -> DataFrame:
+    """contexts with the arrays outs, ins and geometries: fades whose floor, or establishment, is within REACH of the reference, by their start, and the pairs of those falls."""
+    def gathered(rows: DataFrame, at: str, fields: tuple[str, ...], name: str) -> DataFrame:
+        own = rows.select(by, F.col(at).alias("__t"), F.struct(*fields).alias("__f"))
+        found = timeline.near(contexts.select(by, "k", "reference_s"), own, "reference_s", "__t", REACH, by).groupBy(by, "k").agg(F.array_sort(F.collect_list("__f")).alias(name))
+        return found
+
+    geometry = gathered(pairs, "floor_s", ("start_idx", "floor_s", "incoming_start_s", "incoming_established_s"), "geometries")
+    x = contexts
+    for found in (gathered(outgoing, "floor_s", OUTGOING, "outs"), gathered(incoming, "established_s", INCOMING, "ins"), geometry):
+        name = found.columns[-1]
+        kind = found.schema[name].dataType.simpleString()
+        x = x.join(found, [by, "k"], "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return x
 
 
 def first_id(column: str, order: str = "time_s", by: str = BY) -> Column:

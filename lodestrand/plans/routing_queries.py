@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from lodestrand.operators import candidates as C
 from lodestrand.operators import detect as D
 from lodestrand.operators import evidence as V
+from lodestrand.operators import islands as I
+from lodestrand.operators import hybrid as H
+from lodestrand.operators import roles as R_
 from lodestrand.operators import routing as R
 from lodestrand.operators import specialists as P
+from lodestrand.operators import timeline as T
+from lodestrand.shared import checkpoint
 from lodestrand.sources import bindings as B
 
 from .fade_sql import INCOMING, OUTGOING
@@ -42,7 +47,7 @@ def _contexts(spark, sf, interval=None):
 
 
 def q30_cluster(spark, sf):
-    return _hypotheses(spark, sf)
+    return _hypotheses(spark, sf).drop("peak_s", "last_peak_s")
 
 
 def q31_confidence(spark, sf):
@@ -73,31 +78,70 @@ def q59_fade_association(spark, sf):
     )
 
 
-def q60_route(spark, sf):
-    contexts = _contexts(spark, sf)
-    levels = B.levels(spark, sf)
-    incoming = D.incoming_fades(levels)
-    pairs = D.fade_pairs(_outgoing(spark, sf), incoming)
-    geometry = pairs.groupBy("stream_id").agg(F.collect_list(F.struct("start_idx", "floor_s", "incoming_start_s", "incoming_established_s")).alias("geometries"))
-    x = R.insert_flags(V.asymmetric_regions(V.symmetric_regions(contexts)).join(geometry, "stream_id", "left"))
-    x = x.join(_associations(spark, sf, contexts), ["stream_id", "k"], "left").join(V.fade_floor(contexts, _outgoing(spark, sf)), ["stream_id", "k"], "left")
-    rises = D.energy_rises(levels).select(F.col("stream_id").alias("__k"), "rise_s")
-    late = contexts.join(rises, (F.col("stream_id") == F.col("__k")) & (F.col("rise_s") >= F.col("reference_s") + 1)).groupBy("stream_id", "k").agg(F.max("rise_s").alias("rise_at"))
-    basins = D.quiet_basins(levels).select(F.col("stream_id").alias("__k"), "center_s")
-    lead = contexts.join(basins, (F.col("stream_id") == F.col("__k")) & (F.col("reference_s") - F.col("center_s")).between(0.5, 2.5)).groupBy("stream_id", "k").agg(F.count(F.lit(1)).alias("n_lead"))
+def _evidence(spark, sf, interval=None):
+    """Contexts with regions, fades, island, insert flags, associations, floor, rise, lead basins and what the route asks of them."""
+    levels = checkpoint(B.levels(spark, sf))
+    rises, basins = checkpoint(D.energy_rises(levels)), checkpoint(D.quiet_basins(levels))
+    outgoing, incoming = checkpoint(D.with_rise(D.outgoing_fades(levels), rises)), checkpoint(D.incoming_fades(levels))
+    bare = checkpoint(_contexts(spark, sf, interval))
+    contexts = checkpoint(V.with_fades(bare, outgoing, incoming, D.fade_pairs(outgoing, incoming)))
+    x = checkpoint(R.insert_flags(V.asymmetric_regions(V.symmetric_regions(contexts))))
+    x = checkpoint(I.with_island(x))
+    associated = V.outgoing_association(bare, outgoing).join(V.incoming_association(bare, incoming), ["stream_id", "k"], "full_outer")
+    x = x.join(associated, ["stream_id", "k"], "left").join(V.fade_floor(contexts, outgoing), ["stream_id", "k"], "left")
+    references = contexts.select("stream_id", "k", "reference_s")
+    late = H.crossfade_rise(references, rises, ["stream_id", "k", "reference_s"]).select("stream_id", "k", F.col("rise_s").alias("rise_at"))
+    lead = T.near(references, basins.select("stream_id", "center_s"), "reference_s", "center_s", 2.5).where((F.col("reference_s") - F.col("center_s")) >= 0.5).groupBy("stream_id", "k").agg(F.count(F.lit(1)).alias("n_lead"))
     x = x.join(late, ["stream_id", "k"], "left").join(lead, ["stream_id", "k"], "left")
-    same = "filter(coalesce(geometries, array()), g -> g.start_idx = out.f.start_idx {more})"
+    same = "filter(geometries, g -> g.start_idx = out.f.start_idx {more})"
     stale = f"out is not null and inc is null and size({same.format(more='')}) > 0 and forall({same.format(more='')}, g -> g.incoming_established_s < reference_s)"
-    x = (
-        x.withColumn("island_region", F.lit(False)).withColumn("island", F.lit(False))
+    x = checkpoint(x)  # it is read by expression after expression
+    return (
+        x.withColumn("island_region", F.expr("coalesce(island.region is not null, false)")).withColumn("absorbed", F.expr(I.absorbed()))
         .withColumn("floor_handoff", F.col("handoff_id").isNotNull()).withColumn("floor_only", F.col("floor_s").isNotNull() & F.col("handoff_id").isNull())
         .withColumn("rise", F.col("rise_at").isNotNull()).withColumn("n_basins", F.coalesce("n_lead", F.lit(0)))
         .withColumn("stale", F.coalesce(F.expr(stale), F.lit(False))).withColumn("n_reconciled", F.coalesce(F.expr(f"size({same.format(more='and g.incoming_start_s = inc.f.start_s')})"), F.lit(0)))
-        .withColumn("absorbed", F.lit(False)).withColumn("two_sided", F.col("out").isNotNull() & F.col("inc").isNotNull())
+        .withColumn("two_sided", F.col("out").isNotNull() & F.col("inc").isNotNull())
         .withColumn("n_handoffs", F.expr(f"size(filter(hyps, h -> {V.IS_SUPPORTED.format(h='h')}))"))
-        .withColumn("local_complete", F.lit(True)).withColumn("shared_handoff", F.coalesce(F.col("out.h.hyp_id") == F.col("inc.h.hyp_id"), F.lit(False)))
+        .withColumn("local_complete", F.expr("exists(hyps, h -> abs(h.time_s - reference_s) <= 2)"))
+        .withColumn("shared_handoff", F.coalesce(F.expr(R_.hard_cut()).isNotNull(), F.lit(False)))
     )
-    return R.routed(x).select("stream_id", "k", "reference_s", "symmetric_insert", "asymmetric_insert", "floor_handoff", "rise", "n_handoffs", "kind")
+
+
+def _routed(spark, sf, interval=None):
+    x = _evidence(spark, sf, interval)
+    return R.routed(x.withColumn("__i", F.col("island")).withColumn("island", F.col("__i").isNotNull())).withColumn("island", F.col("__i")).drop("__i")
+
+
+def q60_route(spark, sf):
+    return _routed(spark, sf).select("stream_id", "k", "reference_s", "symmetric_insert", "asymmetric_insert", "island_region", F.col("island").isNotNull().alias("island"), "floor_handoff", "rise", "n_handoffs", "kind")
+
+
+def q80_acoustic_island(spark, sf):
+    x = _evidence(spark, sf, 2.5).where("island is not null")
+    return x.select("stream_id", "k", F.col("island.handoff.hyp_id").alias("handoff_id"), F.col("island.decay.start_idx").alias("decay_idx"), F.col("island.reset.start_idx").alias("reset_idx"), F.col("island_region").alias("has_region"))
+
+
+def q81_transition_roles(spark, sf):
+    """Roles of each routed transition, by its kind, and which insert owns it."""
+    x = _routed(spark, sf, 2.5)
+    x = checkpoint(R_.insert(checkpoint(R_.interstitial(checkpoint(x), "a")), "b"))
+    roles = F.expr(f"case kind when 'BOUNDED_INSERT' then b when 'INTERSTITIAL' then coalesce({R_.island()}, a) when 'FADE' then {R_.floor()} when 'HARD_CUT' then {R_.hard_cut()} end")
+    return x.withColumn("r", roles).select("stream_id", "k", "kind", F.expr(R_.provenance()).alias("insert_by"), "r.*")
+
+
+def q82_fade_geometry(spark, sf):
+    x = _evidence(spark, sf).withColumn("selected_s", F.col("reference_s") - 1.25).withColumn("d", F.expr(P.fade_geometry()))
+    return x.where("d is not null").select("stream_id", "k", "reference_s", "d.*")
+
+
+def q83_specialists(spark, sf):
+    """The decision of the specialist that each context is routed to, and what refined it."""
+    x = _routed(spark, sf, 2.5).withColumn("selected_s", F.col("reference_s") - 0.75)
+    x = checkpoint(R.hard_cut_boundary(checkpoint(P.insert_geometry(checkpoint(x), F.col("rise")))))
+    x = x.withColumn("fade", F.expr(P.fade_geometry())).withColumn("boundary_s", F.coalesce(F.expr(P.terminal_handoff()), "boundary_s")).withColumn("cut", F.expr(P.CUT.format(t="boundary_s")))
+    x = P.interstitial_geometry(checkpoint(R_.interstitial(checkpoint(x))), "selected_s")
+    return P.dispatched(x).where("decision is not null").select("stream_id", "k", "reference_s", F.col("kind").alias("route"), "decision.*")
 
 
 def q61_specialist_geometry(spark, sf):
@@ -115,7 +159,7 @@ def q79_supported_exclusion(spark, sf):
     return P.unpacked(P.supported_exclusion(x, "selected_s"), "exclusion")
 
 
-QUERIES = {f.__name__: f for f in (q30_cluster, q31_confidence, q57_symmetric_regions, q58_asymmetric_regions, q59_fade_association, q60_route, q61_specialist_geometry, q78_insert_geometry, q79_supported_exclusion)}
+QUERIES = {f.__name__: f for f in (q30_cluster, q31_confidence, q57_symmetric_regions, q58_asymmetric_regions, q59_fade_association, q60_route, q61_specialist_geometry, q80_acoustic_island, q81_transition_roles, q82_fade_geometry, q83_specialists, q78_insert_geometry, q79_supported_exclusion)}
 
 PROPOSALS_SQL = NOVELTY_SQL + ", " + MINIMA_SQL + """, ov as (select stream_id, median(rms) as overall from lv group by stream_id),
 pp as (select mi.stream_id, minimum_s as time_s, 'BASIN' as source, round(rms / greatest(overall, 1e-12), 6) as depth, null::double as strength, minimum_s - 0.5::double as start_s, minimum_s + 0.75::double as recovery_s from mi join ov using (stream_id) where rms <= 0.3::double * overall
