@@ -17,8 +17,9 @@ from lodestrand.operators import timeline as T
 from lodestrand.shared import checkpoint
 from lodestrand.sources import bindings as B
 
-from .fade_sql import INCOMING, OUTGOING
+from .fade_sql import INCOMING, OUTGOING, PAIRS
 from .detector_queries import NOVELTY_SQL, _features, _outgoing, _round
+from .detector_queries import SQL as DETECTOR_SQL
 from .timeline_queries import FIXED_SQL, MINIMA_SQL, _ends, _fixed
 
 QUIET = 0.3
@@ -177,6 +178,53 @@ FADES_SQL = OUTGOING + ", " + INCOMING + """, ao as (select stream_id, k, p.* fr
     from cx c join ig f on f.stream_id = c.stream_id and f.established_s >= c.ref and f.established_s - c.ref <= 24 and c.time_s >= f.start_s),
   ay as (select stream_id, k, ref, fi, fs, fc, fr, fq, anchor, arg_min({'h': hyp_id, 'd': abs(anchor - time_s)}, row(abs(anchor - time_s), time_s, hyp_id)) as b from ax group by all),
   ai as (select stream_id, k, p.* from (select stream_id, k, arg_min({'start': fs, 'f': fi, 'h': b.h, 'd': b.d}, row(b.d, abs(anchor - ref), -fc, -fr, -fq, anchor, fi)) as p from ay group by stream_id, k))"""
+#: Quiet basins over the levels, without the bindings.
+BASINS_SQL_OF_LEVELS = (
+    DETECTOR_SQL["q20_quiet_basin"][DETECTOR_SQL["q20_quiet_basin"].index("x as (select *, lag(rms)") :].split("\n        select stream_id, l as left_idx")[0].replace("x as (", "qx as (", 1).replace("from x where", "from qx where").replace("m as (", "qm as (", 1).replace("from m)", "from qm)").replace("select m.*", "select qm.*").replace("v.stream_id = m.stream_id", "v.stream_id = qm.stream_id").replace("v.idx < m.idx", "v.idx < qm.idx").replace("v.idx > m.idx", "v.idx > qm.idx").replace("v.rms > m.rms", "v.rms > qm.rms").replace("e as (", "qe as (", 1)
+    + ", qb as (select stream_id, (l + r + 1) * 0.25::double as c from (select *, row_number() over (partition by stream_id, l, r order by rms, idx) as n from qe where (r - l + 1) * 0.5 <= 1.5) where n = 1)"
+)
+#: What a context's row holds, as tables: fades near references, regions, the insert flags, islands, floors, rises and lead basins.
+EVIDENCE_SQL = (
+    FADES_SQL + ", " + PAIRS + """,
+  rf as (select distinct stream_id, k, candidate_s as ref from ca),
+  co as (select rf.k, rf.ref, f.* from rf join og f on f.stream_id = rf.stream_id and abs(f.floor_s - rf.ref) <= 24),
+  cz as (select rf.k, rf.ref, f.*, least(f.ascent_ratio, f.persistence_ratio) as strength, (select count(*) from cx c where c.stream_id = rf.stream_id and c.k = rf.k and c.sup and f.start_s between c.start_s and c.recovery_s) = 1 as owned
+    from rf join ig f on f.stream_id = rf.stream_id and abs(f.established_s - rf.ref) <= 24),
+  gm as (select rf.k, rf.ref, f.* from rf join fp f on f.stream_id = rf.stream_id and abs(f.floor_s - rf.ref) <= 24),
+  ed as (select *, lead(hyp_id) over w as r_id, lead(time_s) over w as r_t, lead(start_s) over w as r_s, lead(recovery_s) over w as r_r, lead(novelty) over w as r_n from cx where sup window w as (partition by stream_id, k order by time_s)),
+  rg as (select *, ref between start_s and recovery_s as in_l, ref between r_s and r_r as in_r,
+    (select count(*) from cx c where c.stream_id = ed.stream_id and c.k = ed.k and c.time_s > ed.time_s and c.time_s < ed.r_t and c.n_basin = 0) as i_s, (select count(*) from cx c where c.stream_id = ed.stream_id and c.k = ed.k and c.time_s > ed.time_s and c.time_s < ed.r_t and c.n_structural = 0) as i_b,
+    (select count(*) from cx c where c.stream_id = ed.stream_id and c.k = ed.k and c.time_s > ed.time_s and c.time_s < ed.r_t) as i_n
+    from ed where r_id is not null and (ref between time_s and r_t or ref between start_s and recovery_s or ref between r_s and r_r)),
+  pk as (select stream_id, k, max(novelty) as peak, count(*) filter (where sup) as n_handoffs, any_value(hyp_id) filter (where sup) as any_sup, bool_or(abs(time_s - ref) <= 2) as local_complete from cx group by stream_id, k),
+  r1 as (select stream_id, k, count(*) as n_regions, any_value(rg) as g from rg group by stream_id, k),
+  sy as (select rf.*, coalesce(n_regions = 1 and not (g.i_s > 0 and g.i_b > 0) and not (g.in_l and exists(select 1 from gm where gm.stream_id = rf.stream_id and gm.k = rf.k and gm.floor_s = gm.incoming_start_s and rf.ref <= gm.floor_s and gm.floor_s between g.start_s and g.recovery_s and gm.floor_s < g.r_t))
+    and rf.ref between g.time_s and g.r_t and not coalesce(g.novelty = peak, false) and (not coalesce(g.r_n = peak, false) or (g.i_n = 1 and g.i_s = 1)), false) as symmetric_insert,
+    coalesce(n_regions = 1 and g.novelty = peak and not coalesce(g.r_n = peak, false) and g.i_s = 1 and exists(select 1 from co where co.stream_id = rf.stream_id and co.k = rf.k and co.rise_s between g.r_s and g.r_r), false) as maybe_absorbed
+    from rf left join r1 using (stream_id, k) left join pk using (stream_id, k)),
+  af as (select stream_id, k, arg_min(hyp_id, time_s) as c_id, min(time_s) as c_t from cx where time_s > ref and comp group by stream_id, k),
+  os as (select cx.*, c_t from cx join af using (stream_id, k) where time_s < ref and sup and c_t - ref < ref - time_s and not exists (select 1 from cx c where c.stream_id = cx.stream_id and c.k = cx.k and c.time_s > cx.time_s and c.time_s < c_t and c.sup)),
+  ay2 as (select os.stream_id, os.k, count(*) = 1 and bool_and(coalesce(novelty = peak, false)) as asymmetric_insert from os join pk using (stream_id, k) group by os.stream_id, os.k),
+  cn as (select stream_id, k, any_value(rg) as g from rg where time_s < ref and ref < r_t and not in_l and not in_r group by stream_id, k having count(*) = 1),
+  nr as (select o.stream_id, o.k, o.ref, o.start_idx as oi, o.floor_s, z.start_idx as zi, z.start_s as zs, z.established_s as ze, z.strength, z.owned from co o join cz z on z.stream_id = o.stream_id and z.k = o.k
+    where abs(o.floor_s - o.ref) <= 8 and z.strength >= pow(10, 0.6) and z.start_s between o.start_s and o.floor_s + least(2, greatest(0.5, 0.25 * greatest(0, o.floor_s - o.start_s))) and z.start_s < o.ref),
+  fs as (select stream_id, k, ref, oi, floor_s, arg_min({'i': zi, 's': zs, 'e': ze, 'p': strength}, zs) as r from nr where not owned group by all),
+  fo as (select fs.* from fs where not exists (select 1 from nr where nr.stream_id = fs.stream_id and nr.k = fs.k and nr.oi = fs.oi and nr.owned and nr.zs > fs.r.s and nr.strength >= fs.r.p)),
+  fh as (select fo.*, case when cn.g is not null then cn.g.r_id else (select arg_min(c.hyp_id, c.time_s) from cx c where c.stream_id = fo.stream_id and c.k = fo.k and c.sup and c.time_s > greatest(fo.ref, fo.floor_s, fo.r.e)) end as h from fo left join cn using (stream_id, k)),
+  sh as (select stream_id, k, arg_min({'h': h, 'o': oi, 'z': r.i}, row(-r.p, r.s, oi)) as s from fh where h is not null group by stream_id, k),
+  ch as (select o.stream_id, o.k, abs(c.time_s - o.ref) as d, z.start_s - o.floor_s as gap, c.time_s - z.start_s as len, o.start_idx as oi, z.start_idx as zi, c.hyp_id as h from co o join cz z on z.stream_id = o.stream_id and z.k = o.k join cx c on c.stream_id = o.stream_id and c.k = o.k and c.sup
+    where o.descent_ratio >= pow(10, 0.6) and z.strength >= pow(10, 0.6) and z.start_s - o.floor_s > least(2, greatest(0.5, 0.25 * greatest(0, o.floor_s - o.start_s))) and z.start_s - o.floor_s <= 8 and c.time_s - z.start_s > 8 and abs(c.time_s - o.ref) <= 8),
+  lg as (select stream_id, k, any_value({'h': h, 'o': oi, 'z': zi}) as s from (select *, min(d) over (partition by stream_id, k) as m from ch) where abs(d - m) < 1e-9 group by stream_id, k having count(*) = 1),
+  il as (select rf.stream_id, rf.k, coalesce(sh.s, case when cn.g is null then lg.s end, case when cn.g is not null then {'h': cn.g.r_id, 'o': null, 'z': null} end) as s, cn.g is not null as has_region from rf left join cn using (stream_id, k) left join sh using (stream_id, k) left join lg using (stream_id, k)),
+  dp as (select stream_id, k, ref, count(*) as n, any_value(co) as d from co where floor_rms = (select min(o.floor_rms) from co o where o.stream_id = co.stream_id and o.k = co.k) group by stream_id, k, ref),
+  fl as (select dp.stream_id, dp.k, d.floor_s as floor_s, d.start_idx as floor_fade, case when own = 1 then hid end as handoff_id from (select dp.*, (select count(*) from cx c where c.stream_id = dp.stream_id and c.k = dp.k and c.sup and c.time_s >= d.floor_s and d.floor_s between c.start_s and c.recovery_s) as own,
+      (select min(c.hyp_id) from cx c where c.stream_id = dp.stream_id and c.k = dp.k and c.sup and c.time_s >= d.floor_s and d.floor_s between c.start_s and c.recovery_s) as hid, exists(select 1 from co o where o.stream_id = dp.stream_id and o.k = dp.k and o.start_s > d.floor_s and o.start_s <= dp.ref) as later from dp) dp
+    where n = 1 and d.rise_s is null and d.floor_s <= ref and (own = 1 or later)),
+  lt as (select rf.stream_id, rf.k, max(rise_s) as rise_at from rf join ri on ri.stream_id = rf.stream_id and rise_s - rf.ref >= 1 group by rf.stream_id, rf.k),
+  ev as (select rf.*, sy.symmetric_insert, coalesce(asymmetric_insert, false) as asymmetric_insert, il.s is not null as island, il.s is not null and has_region as island_region, il.s as isl, not sy.symmetric_insert and maybe_absorbed as absorbed, fl.floor_s, fl.floor_fade, fl.handoff_id, rise_at,
+    coalesce(n_handoffs, 0) as n_handoffs, coalesce(local_complete, false) as local_complete, any_sup, ao.f as of, ao.h as oh, ai.f as jf, ai.h as jh, ai.start as js
+    from rf left join sy using (stream_id, k) left join ay2 using (stream_id, k) left join il using (stream_id, k) left join fl using (stream_id, k) left join lt using (stream_id, k) left join pk using (stream_id, k) left join ao using (stream_id, k) left join ai using (stream_id, k))"""
+)
 ALL_SQL = FIXED_SQL + ", " + PROPOSALS_SQL + ", cx as (select ca.stream_id, k, candidate_s as ref, sf.* exclude (stream_id) from ca join sf on sf.stream_id = ca.stream_id and abs(time_s - candidate_s) <= 24)"
 
 SQL = {
@@ -206,6 +254,43 @@ SQL = {
     from ao full join ai on ai.stream_id = ao.stream_id and ai.k = ao.k""",
         recursive=True,
     ),
+    "q80_acoustic_island": B.with_sql(
+        "fr pc",
+        ALL_SQL.replace("10.0::double", "2.5::double").replace("last_end_s / 10", "last_end_s / 2.5") + ", " + EVIDENCE_SQL + " select stream_id, k, isl.h as handoff_id, isl.o as decay_idx, isl.z as reset_idx, island_region as has_region from ev where island",
+        recursive=True,
+    ),
+    "q82_fade_geometry": B.with_sql(
+        "fr pc",
+        ALL_SQL + ", " + EVIDENCE_SQL
+        + """, x as (select ev.*, ref - 1.25::double as sel, case when handoff_id is null then ref else (select time_s from cx c where c.stream_id = ev.stream_id and c.k = ev.k and c.hyp_id = handoff_id) end as fin,
+      (select count(*) from gm where gm.stream_id = ev.stream_id and gm.k = ev.k and gm.start_idx = ev.of and gm.incoming_start_s = ev.js) as np, (select min(floor_s) from gm where gm.stream_id = ev.stream_id and gm.k = ev.k and gm.start_idx = ev.of and gm.incoming_start_s = ev.js) as pf,
+      (select time_s from cx c where c.stream_id = ev.stream_id and c.k = ev.k and c.hyp_id = oh) as ot, (select time_s from cx c where c.stream_id = ev.stream_id and c.k = ev.k and c.hyp_id = jh) as it from ev),
+    d as (select stream_id, k, ref as reference_s, case
+      when floor_s < fin then {'kind': 'EXCLUSION', 'i': fin, 'o': floor_s}
+      when np = 1 then {'kind': case when js = pf then 'HARD_CUT' when js < pf then 'CROSSFADE' else 'EXCLUSION' end, 'i': js, 'o': pf}
+      when rise_at is null then {'kind': 'HARD_CUT', 'i': sel, 'o': sel}
+      when sel >= rise_at then null
+      when ref - sel >= 0 and rise_at - ref > ref - sel then {'kind': 'HARD_CUT', 'i': sel, 'o': sel}
+      when it < ot then {'kind': 'CROSSFADE', 'i': it, 'o': ot}
+      else {'kind': 'CROSSFADE', 'i': sel, 'o': rise_at} end as d from x)
+    select stream_id, k, reference_s, d.kind as kind, d.i as incoming_start_s, d.o as outgoing_end_s from d where d is not null""",
+        recursive=True,
+    ),
+    "q60_route": B.with_sql(
+        "fr pc",
+        ALL_SQL + ", " + EVIDENCE_SQL
+        + ", " + BASINS_SQL_OF_LEVELS
+        + """, lb as (select rf.stream_id, rf.k, count(*) as n from rf join qb on qb.stream_id = rf.stream_id and rf.ref - c between 0.5 and 2.5 group by rf.stream_id, rf.k),
+    x as (select ev.*, coalesce(lb.n, 0) as n_basins, rise_at is not null as rise, of is not null and jf is not null as two_sided, coalesce(n_handoffs = 1 and oh = any_sup and jh = any_sup, false) as shared,
+      (select count(*) from gm where gm.stream_id = ev.stream_id and gm.k = ev.k and gm.start_idx = ev.of and gm.incoming_start_s = ev.js) as n_rec,
+      coalesce(of is not null and jf is null and (select count(*) > 0 and bool_and(incoming_established_s < ev.ref) from gm where gm.stream_id = ev.stream_id and gm.k = ev.k and gm.start_idx = ev.of), false) as stale from ev left join lb using (stream_id, k))
+    select stream_id, k, ref as reference_s, symmetric_insert, asymmetric_insert, island_region, island, handoff_id is not null as floor_handoff, rise, cast(n_handoffs as int) as n_handoffs, case
+      when symmetric_insert or asymmetric_insert then 'BOUNDED_INSERT' when island_region then 'INTERSTITIAL' when handoff_id is not null then 'FADE' when island then 'INTERSTITIAL'
+      when rise and n_basins > 0 and not stale and n_handoffs >= 2 then case when n_rec <> 1 or absorbed then 'INTERSTITIAL' when two_sided then 'FADE' else 'INTERSTITIAL' end
+      when rise and n_basins > 0 and not stale then 'FADE' when n_handoffs >= 2 then 'INTERSTITIAL' when floor_s is not null then 'FADE'
+      when local_complete and not rise and shared then 'HARD_CUT' else 'AMBIGUOUS' end as kind from x""",
+        recursive=True,
+    ),
     "q61_specialist_geometry": B.with_sql(
         "fr pc",
         ALL_SQL
