@@ -59,7 +59,7 @@ def utf8_prefix(value: Column, limit: int) -> Column:
 
 def stream_title(block: Column) -> Column:
     """The text between StreamTitle=' and the first ';, trimmed; null if it is empty or missing."""
-    found = F.trim(F.regexp_extract(block, r"(?s)StreamTitle='(.*?)';", 1))
+    found = F.btrim(F.regexp_extract(block, r"(?s)StreamTitle='(.*?)';", 1), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(found != "", found)
 
 

@@ -74,8 +74,9 @@ def q56_terminal_record(spark, sf):
     return O.terminal(O.ledger(B.ranges(spark, sf)))
 
 
-def _titles(spark, sf, n=80):
-    return B.read(spark, sf, "documents").select("doc_id", F.substring("text", 1, n).alias("title"))
+def _titles(spark, sf):
+    """Whole texts as titles."""
+    return B.read(spark, sf, "documents").select("doc_id", F.col("text").alias("title"))
 
 
 def q62_title_normalise(spark, sf):
@@ -87,19 +88,17 @@ def q63_safe_stem(spark, sf):
 
 
 def q64_collision_suffix(spark, sf):
-    return O.numbered_stems(_titles(spark, sf, 4).withColumnRenamed("title", "stem"), "stem", "doc_id")
+    return O.numbered_stems(_titles(spark, sf).select("doc_id", X.safe_stem(F.col("title")).alias("stem")), "stem", "doc_id")
 
 
 def q65_icy_title(spark, sf):
-    block = F.concat(F.lit("StreamTitle='"), F.substring("title", 1, 60), F.lit("';StreamUrl='x';"))
+    block = F.concat(F.lit("StreamTitle='"), F.col("title"), F.lit("';StreamUrl='x';"))
     return _titles(spark, sf).select("doc_id", X.stream_title(F.when(F.col("doc_id") % 7 == 0, F.lit("StreamTitle=' ';")).otherwise(block)).alias("title"))
 
 
 def q66_swap_title(spark, sf):
-    words = F.split("title", r"[ \n]+")
-    w = [F.coalesce(F.get(words, F.lit(i)), F.lit("")) for i in range(3)]
-    title = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" - ", w[0], w[1])).when(F.col("doc_id") % 3 == 1, F.concat_ws(" - ", *w)).otherwise(w[0])
-    return _titles(spark, sf).select("doc_id", title.alias("title")).select("doc_id", "title", X.swapped(F.col("title")).alias("swapped"))
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" - ", "lang", "text")).when(F.col("doc_id") % 3 == 1, F.concat_ws(" - ", "source", "lang", "text")).otherwise(F.col("text"))
+    return B.read(spark, sf, "documents").select("doc_id", title.alias("title")).select("doc_id", "title", X.swapped(F.col("title")).alias("swapped"))
 
 
 def q67_codec_detect(spark, sf):
@@ -149,7 +148,9 @@ LEDGER_SQL = """lg as (select *, case when start_offset > covered then 'GAP' whe
 TERMINAL_SQL = """tm as (select stream_id, count(*) as n_ranges, max(end_offset) as covered_end, count(*) filter (where status = 'GAP') as n_gaps,
   cast(coalesce(sum(start_offset - covered) filter (where status = 'GAP'), 0) as bigint) as gap_bytes, bool_and(status = 'OK') as complete from lg group by stream_id)"""
 SPLITS_SQL = f"{FIXED_SQL}, {MATCH_SQL}, {ALIGN_SQL}, sp as (select stream_id, k, incoming_start_s, {OFFSETS_SQL} from sk where split_kind <> 'ERROR')"
-TITLE_SQL = "tt as (select doc_id, substr(text, 1, {n}) as title from documents)"
+TITLE_SQL = "tt as (select doc_id, text as title from documents)"
+STEM_SQL = """st as (select doc_id, case when s = '' then 'track' else s end as stem from (
+  select doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(title), '[/\\\\:*?"<>|\\x00-\\x1f]', '_', 'g'), '\\s+', ' ', 'g'), ' ._-') as s from tt))"""
 MP3_SQL = """with w as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, 4292870144 + (l_partkey * 40503 + l_suppkey * 65537 + l_orderkey * 131) % 2097152 as word from lineitem),
 b as (select *, (word >> 19) & 3 as v, (word >> 17) & 3 as l, (word >> 12) & 15 as br, (word >> 10) & 3 as r, (word >> 9) & 1 as p from w),
 h as (select *, case when v = 3 then [32,40,48,56,64,80,96,112,128,160,192,224,256,320][br] else [8,16,24,32,40,48,56,64,80,96,112,128,144,160][br] end as kb,
@@ -198,15 +199,11 @@ SQL = {
     ),
     "q55_coverage_ledger": B.with_sql("rg", LEDGER_SQL + " select stream_id, seq, start_offset, end_offset, covered, status from lg"),
     "q56_terminal_record": B.with_sql("rg", LEDGER_SQL + ", " + TERMINAL_SQL + " select * from tm"),
-    "q62_title_normalise": "with " + TITLE_SQL.format(n=80) + " select doc_id, trim(regexp_replace(replace(lower(strip_accents(title)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) as normal from tt",
-    "q63_safe_stem": "with " + TITLE_SQL.format(n=80) + """ select doc_id, case when s = '' then 'track' else s end as stem from (
-      select doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(title), '[/\\\\:*?"<>|\\x00-\\x1f]', '_', 'g'), '\\s+', ' ', 'g'), ' ._-') as s from tt)""",
-    "q64_collision_suffix": "with " + TITLE_SQL.format(n=4) + " select doc_id, title as stem, title || case when n > 1 then '-' || n else '' end as name from (select *, row_number() over (partition by title order by doc_id) as n from tt)",
-    "q65_icy_title": "with " + TITLE_SQL.format(n=80) + ", b as (select doc_id, case when doc_id % 7 = 0 then 'StreamTitle='' '';' else 'StreamTitle=''' || substr(title, 1, 60) || ''';StreamUrl=''x'';' end as b from tt) select doc_id, nullif(trim(split_part(split_part(b, 'StreamTitle=''', 2), ''';', 1), ' '), '') as title from b",
-    "q66_swap_title": "with "
-    + TITLE_SQL.format(n=80)
-    + """, w as (select doc_id, regexp_split_to_array(title, '[ \\n]+') as w from tt),
-    t as (select doc_id, case doc_id % 3 when 0 then coalesce(w[1], '') || ' - ' || coalesce(w[2], '') when 1 then coalesce(w[1], '') || ' - ' || coalesce(w[2], '') || ' - ' || coalesce(w[3], '') else coalesce(w[1], '') end as title from w),
+    "q62_title_normalise": "with " + TITLE_SQL + " select doc_id, trim(regexp_replace(replace(lower(strip_accents(title)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) as normal from tt",
+    "q63_safe_stem": "with " + TITLE_SQL + ", " + STEM_SQL + " select doc_id, stem from st",
+    "q64_collision_suffix": "with " + TITLE_SQL + ", " + STEM_SQL + " select doc_id, stem, stem || case when n > 1 then '-' || n else '' end as name from (select *, row_number() over (partition by stem order by doc_id) as n from st)",
+    "q65_icy_title": "with " + TITLE_SQL + ", b as (select doc_id, case when doc_id % 7 = 0 then 'StreamTitle='' '';' else 'StreamTitle=''' || title || ''';StreamUrl=''x'';' end as b from tt) select doc_id, nullif(trim(split_part(split_part(b, 'StreamTitle=''', 2), ''';', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') as title from b",
+    "q66_swap_title": """with t as (select doc_id, case doc_id % 3 when 0 then concat_ws(' - ', lang, text) when 1 then concat_ws(' - ', source, lang, text) else text end as title from documents),
     p as (select *, string_split(title, ' - ') as p from t)
     select doc_id, title, case when len(p) = 2 and trim(p[1], ' ') <> '' and trim(p[2], ' ') <> '' then trim(p[2], ' ') || ' - ' || trim(p[1], ' ') else title end as swapped from p""",
     "q67_codec_detect": B.with_sql(
