@@ -29,7 +29,7 @@ ROWS, BANDS = 5, 24
 #: The least likeness of near copies, as a fraction.
 LIKE = (4, 5)
 #: Buckets of up to so many nodes are met pair by pair at once; larger ones by neighbours in so many bands.
-SMALL, FIRST_BANDS = 4, 2
+SMALL, FIRST_BANDS = 4, 4
 #: Sets in a block of the second round.
 BLOCK = 256
 U64 = np.uint64
@@ -203,9 +203,9 @@ def links_of(nodes: list[int], components: list[int], leads: list[bool], sets: l
     return found
 
 
-def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links u, v among members(team, node, component, lead), by sets(node, hashes). A node that leads many teams is a hot key."""
-    held = split_join(members, sets, "node").select("team", "node", "component", "lead", "hashes")
+def _verified(members: DataFrame) -> DataFrame:
+    """Links u, v among members(team, node, component, lead, hashes)."""
+    held = members.select("team", "node", "component", "lead", "hashes")
     held = held.repartition(spread(held), "team").sortWithinPartitions("team")
 
     def check(batches):
@@ -265,9 +265,9 @@ def labelled(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     sets = checkpoint(_sets(rows, nodes.join(wanted, "node").select("node", "row.id", "row.h"), shingle))
     others = pairs.select(F.col("a").alias("team"), F.col("b").alias("node"), F.col("b").alias("component"), F.lit(False).alias("lead"))
     leads = pairs.select(*[F.col("a").alias(c) for c in ("team", "node", "component")], F.lit(True).alias("lead")).distinct()
-    joined = components(_verified(others.unionByName(leads), sets))
+    joined = components(_verified(others.unionByName(leads).join(sets, "node")))
     large = large.join(joined, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-    more = _verified(checkpoint(_blocks(large)), sets)
+    more = _verified(split_join(checkpoint(_blocks(large)), sets, "node"))  # a node that leads many teams is a hot key
     found = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     found = nodes.select("node", "row", "n").join(found, "node", "left")
     return prints.select("id", "h", "node"), checkpoint(found.withColumn("component", F.coalesce("component", "node")))
