@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import vectors as V
@@ -102,3 +102,80 @@ def forward_novelty(vectors: DataFrame, side: int, step: int, by: str = BY) -> D
     x = x.where((F.col("idx") % step == 0) & (F.size("pre") == side) & (F.size("post") == side))
     far = F.transform("post", lambda p: F.array_min(F.transform("pre", lambda q: V.cosine_distance(p, q))))
     return x.select(by, "idx", F.round(V.total(far) / side, 6).alias("novelty"))
+
+
+def centre(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, center: the median of each number over the blocks(keys, vec)."""
+    x = blocks.select(*keys, F.posexplode("vec").alias("dim", "x")).groupBy(*keys, "dim").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+    return x.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("center"))
+
+
+def spread(blocks: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, spread: the median distance of blocks to their centre."""
+    return blocks.join(centers, keys).groupBy(*keys).agg(F.percentile(V.profile_distance(F.col("vec"), F.col("center")), F.lit(0.5)).alias("spread"))
+
+
+def sequential(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sequential: the median distance of blocks(keys, idx, vec) that follow one another; 0 for fewer than two."""
+    x = blocks.withColumn("__p", F.lag("vec").over(Window.partitionBy(*keys).orderBy("idx")))
+    return x.groupBy(*keys).agg(F.coalesce(F.percentile(V.profile_distance(F.col("__p"), F.col("vec")), F.lit(0.5)), F.lit(0.0)).alias("sequential"))
+
+
+def before_after(blocks: DataFrame, boundaries: DataFrame, side: int, guard: int, by: str = BY) -> DataFrame:
+    """boundaries(k, at: a block's number) with between (distance of the centres of `side` blocks before and after, `guard` blocks away) and, of either side, sequential variability and spread. Boundaries without whole sides go."""
+    n = [F.col("at") - guard - 1 - i for i in range(side)], [F.col("at") + guard + i for i in range(side)]
+    places = F.array(*[F.struct(F.lit(s).alias("side"), i.cast("long").alias("idx")) for s in (0, 1) for i in n[s]])
+    x = boundaries.select(by, "k", F.explode(places).alias("p")).select(by, "k", "p.*").join(blocks.select(by, "idx", "vec"), [by, "idx"])
+    whole = x.groupBy(by, "k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == 2 * side).select(by, "k")
+    x, keys = x.join(whole, [by, "k"], "left_semi"), [by, "k", "side"]
+    c = centre(x, keys)
+    y = c.join(spread(x, c, keys), keys).join(sequential(x, keys), keys)
+    one = lambda s, v: F.max(F.when(F.col("side") == s, F.col(v)))
+    y = y.groupBy(by, "k").agg(*[one(s, v).alias(f"{name}_{v}") for s, name in ((0, "before"), (1, "after")) for v in ("center", "sequential", "spread")])
+    return y.select(by, "k", V.profile_distance(F.col("before_center"), F.col("after_center")).alias("between"), "before_sequential", "after_sequential", "before_spread", "after_spread")
+
+
+def local_discontinuity(blocks: DataFrame, boundaries: DataFrame, sides: dict[str, int], by: str = BY) -> DataFrame:
+    """boundaries(k, at) with the distance of centres on both sides, without a guard, for each named number of blocks; only where all are there."""
+    out = boundaries.select(by, "k")
+    for name, side in sides.items():
+        out = out.join(before_after(blocks, boundaries, side, 0, by).select(by, "k", F.col("between").alias(name)), [by, "k"])
+    return out
+
+
+def context_change(features: DataFrame, times: DataFrame, seconds: float, side: int, guard: int, by: str = BY) -> DataFrame:
+    """times(k, time_s) with change: distance of the mean features of `side` frames before and after the nearest frame, `guard` frames away; null out of range."""
+    w = Window.partitionBy(by).orderBy("idx")
+    before, after = w.rowsBetween(-guard - side, -guard - 1), w.rowsBetween(guard, guard + side - 1)
+    scales = {"rms": 1.0, "zcr": 1.0, "mean_abs_delta": 1.0, "crest": 4.0}
+    total = sum(F.pow((F.avg(c).over(after) - F.avg(c).over(before)) / s, 2) for c, s in scales.items())
+    x = features.withColumn("change", F.when((F.count(F.lit(1)).over(before) == side) & (F.count(F.lit(1)).over(after) == side), F.sqrt(total)))
+    x = x.select(by, "idx", (F.col("idx") * seconds).alias("frame_s"), "change")
+    return timeline.nearest(times, x, "time_s", "frame_s", by=by).select(*times.columns, F.col("hit.change").alias("change"))
+
+
+def transition_evidence(base: DataFrame, spectral: DataFrame, temporal: DataFrame | None = None, local: DataFrame | None = None, keys: tuple[str, ...] = (BY, "k")) -> DataFrame:
+    """One record for each of base(keys): measurements joined where they were made, ratios given in base before those derived, and the label UNRESOLVED, which no policy changes yet."""
+    out = base.join(spectral, list(keys), "left")
+    for other in (temporal, local):
+        if other is not None:
+            given = [c for c in other.columns if c in base.columns and c not in keys]
+            out = out.join(other.withColumnsRenamed({c: f"__{c}" for c in given}), list(keys), "left")
+            out = out.withColumns({c: F.coalesce(c, f"__{c}") for c in given}).drop(*[f"__{c}" for c in given])
+    return out.withColumn("label", F.lit("UNRESOLVED"))
+
+
+def as_record(columns: list[str]) -> Column:
+    """A flat JSON record of columns, keys sorted; nulls stay as null."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def multisignal(references: DataFrame, basins: DataFrame, series: DataFrame, horizons: DataFrame, regime: DataFrame, novelty: DataFrame, by: str = BY) -> DataFrame:
+    """Candidates of each reference(k): the union of basins and maxima, with change at four horizons (time_s, d250, d500, d1, d2), the geometric mean of regime ratios (time_s, ratios) and forward novelty (time_s, novelty), ranked by family and, of each reference, the one that minimax selects (selected)."""
+    ms = lambda df: df.withColumn("time_s", F.bround("time_s", 3))
+    x = union_candidates(references, basins, series, by=by)
+    x = x.join(ms(horizons), [by, "time_s"]).join(ms(regime).select(by, "time_s", V.geomean(F.col("ratios")).alias("mfcc_geo")), [by, "time_s"]).join(ms(novelty).select(by, "time_s", F.col("novelty").alias("forward_novelty")), [by, "time_s"])
+    x = x.withColumn("__s", F.struct(by, "k"))
+    ranked = family_rrf(x, "__s")
+    best = minimax(ranked, "__s").select("__s", F.col("time_s").alias("__t"))
+    return ranked.join(best, "__s").withColumn("selected", F.col("time_s") == F.col("__t")).drop("__s", "__t")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detector_queries, rank_queries, routing_queries, session_queries, signal_queries, state_queries, timeline_queries
+from . import detector_queries, evidence_queries, rank_queries, routing_queries, session_queries, signal_queries, state_queries, timeline_queries
 
-MODULES = (timeline_queries, detector_queries, rank_queries, session_queries, routing_queries, signal_queries, state_queries)
+MODULES = (timeline_queries, detector_queries, rank_queries, session_queries, routing_queries, signal_queries, state_queries, evidence_queries)
 
 
 def queries() -> dict:
