@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint, lookup
 
 
+#: Edges that a task writes at a round's end, about.
+ROWS = 20_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node in edges(u, v), both long. Nothing is collected; each round is checkpointed.
 
@@ -23,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = lookup(both, least, "u", "n", 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = lookup(large, least, "u", "n", size).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        pairs = checkpoint(small.coalesce(max(1, size // ROWS)))  # edges only become fewer
         found = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if found == state:
             break

@@ -8,7 +8,8 @@ sets are nodes. A link is kept only if its two sets are like enough, so a pair w
 
 Candidates are met in two rounds, so that a dense group isn't met pair by pair. The first takes all pairs of small buckets, and
 of a large one neighbours in the order of the next band, in a few bands. The second meets each pair of a large bucket that the
-first round's links don't join: all but the bucket's largest component, in blocks, against the whole bucket, in blocks.
+first round's links don't join: all but the bucket's largest component, in blocks, against the whole bucket, in blocks. No bucket
+is held by one task.
 """
 
 from __future__ import annotations
@@ -113,7 +114,11 @@ def _columns(batches) -> list[np.ndarray] | None:
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """Of nodes(node, size, bands): pairs a, b to compare first (size -1), and the rows of large buckets: a (bucket), b (node), size."""
+    """Of nodes(node, size, bands): pairs a, b to compare first (size -1), and the rows of large buckets: a (bucket), b (node), size.
+
+    Buckets are sorted by range, which also divides large ones; one that touches a partition's end may go on in the next, and
+    counts as large.
+    """
     following = F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1)
     dealt = nodes.select("node", "size", "bands", F.posexplode("bands").alias("band", "key")).select("band", "key", "node", "size", following.alias("following"))
 
@@ -125,64 +130,44 @@ def _met(nodes: DataFrame) -> DataFrame:
         band, key, node, size = band[order], key[order], node[order], size[order]
         begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]))))
         counts = np.diff(np.append(begins, len(key)))
-        count, inside = np.repeat(counts, counts), np.arange(len(key)) - np.repeat(begins, counts)
+        large = counts > SMALL
+        large[[0, -1]] = True
+        count, inside, large = np.repeat(counts, counts), np.arange(len(key)) - np.repeat(begins, counts), np.repeat(large, counts)
         a, b = [], []
         for gap in range(1, SMALL):
-            wanted = (count <= SMALL) | ((gap == 1) & (band < FIRST_BANDS))
+            wanted = ~large | ((gap == 1) & (band < FIRST_BANDS))
             at = np.flatnonzero((inside + gap < count) & wanted)
             at = at[LIKE[1] * np.minimum(size[at], size[at + gap]).astype(np.int64) >= LIKE[0] * np.maximum(size[at], size[at + gap]).astype(np.int64)]
             a.append(np.minimum(node[at], node[at + gap]))
             b.append(np.maximum(node[at], node[at + gap]))
-        pairs, large = sum(map(len, a)), count > SMALL
+        pairs = sum(map(len, a))
         yield {
             "a": np.concatenate([*a, key[large] + band[large]]),
             "b": np.concatenate([*b, node[large]]),
             "size": np.concatenate([np.full(pairs, -1, np.int32), size[large].astype(np.int32)]),
         }
 
-    return map_batches(dealt.repartition(spread(dealt), "band", "key"), T._parse_datatype_string("a long, b long, size int"), meet)
-
-
-def unmet(size: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """Which nodes of a bucket have another of an alike size in another component."""
-    order = np.argsort(size, kind="stable")
-    size, component = size[order].astype(np.int64), component[order]
-    run = np.cumsum(np.concatenate(([0], component[1:] != component[:-1])))
-    low = np.searchsorted(LIKE[1] * size, LIKE[0] * size)
-    high = np.searchsorted(LIKE[0] * size, LIKE[1] * size, side="right")
-    out = np.zeros(len(size), bool)
-    out[order] = run[low] != run[high - 1]
-    return out
+    ordered = dealt.repartitionByRange(spread(dealt), "band", "key", "following", "node")
+    return map_batches(ordered, T._parse_datatype_string("a long, b long, size int"), meet)
 
 
 def _blocks(large: DataFrame) -> DataFrame:
-    """What the second round compares: rows of large(bucket, node, size, component) as members of (team, node, component, lead)."""
-
-    def deal(batches):
-        import xxhash
-
-        if (rows := _columns(batches)) is None:
-            return
-        bucket, node, size, component = rows
-        order = np.lexsort((node, component, bucket))
-        bucket, node, size, component = bucket[order], node[order], size[order], component[order]
-        begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        for start, end in zip(begins, np.append(begins[1:], len(bucket))):
-            if component[start] == component[end - 1]:
-                continue
-            left = start + np.flatnonzero(unmet(size[start:end], component[start:end]))
-            if not len(left):
-                continue
-            names, counts = np.unique(component[left], return_counts=True)
-            leads = left[component[left] != names[counts.argmax()]]
-            for i in range(0, len(leads), BLOCK):
-                for j in range(0, len(left), BLOCK):
-                    rest = np.setdiff1d(left[j : j + BLOCK], leads[i : i + BLOCK])
-                    at = np.concatenate([leads[i : i + BLOCK], rest])
-                    team = np.array(xxhash.xxh64_intdigest(np.array([bucket[start], i, j], np.int64).tobytes(), SEED), U64).view(np.int64)
-                    yield {"team": np.full(len(at), team), "node": node[at], "component": component[at], "lead": np.arange(len(at)) < len(at) - len(rest)}
-
-    return map_batches(large.repartition(spread(large), "bucket"), T._parse_datatype_string("team long, node long, component long, lead boolean"), deal)
+    """What the second round compares: rows of large(bucket, node, component) as members of (team, node, component, lead).
+
+    Nodes of a bucket's largest component needn't be met with one another. The others lead, in blocks, and meet all, in blocks;
+    a team is one block of each, so no task holds a bucket.
+    """
+    sizes = large.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    stats = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > top.c")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    stats = checkpoint(stats.select("bucket", "n", F.col("top.component").alias("top"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("top.c")).alias("leads")))
+    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = lookup(large.select("bucket", "node", "component"), stats, "bucket", "n", total)
+    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select("bucket", every("leads").alias("i"), place(0, "all").alias("j"), "node", "component", F.lit(False).alias("lead"))
+    leads = rows.where("component <> top").select("bucket", place(1, "leads").alias("i"), every("all").alias("j"), "node", "component", F.lit(True).alias("lead"))
+    return members.unionByName(leads).select(F.xxhash64("bucket", "i", "j").alias("team"), "node", "component", "lead")
 
 
 def links_of(nodes: list[int], components: list[int], leads: list[bool], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -223,7 +208,7 @@ def _verified(members: DataFrame) -> DataFrame:
                 if t != team:
                     found += links()
                     team, rows = t, {}
-                rows[node] = (component, lead, np.frombuffer(hashes, U64))
+                rows[node] = (component, lead or (node in rows and rows[node][1]), np.frombuffer(hashes, U64))
             if found:
                 yield {"u": [u for u, _ in found], "v": [v for _, v in found]}
         if found := links():
@@ -266,7 +251,7 @@ def labelled(rows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     others = pairs.select(F.col("a").alias("team"), F.col("b").alias("node"), F.col("b").alias("component"), F.lit(False).alias("lead"))
     leads = pairs.select(*[F.col("a").alias(c) for c in ("team", "node", "component")], F.lit(True).alias("lead")).distinct()
     joined = components(_verified(others.unionByName(leads).join(sets, "node")))
-    large = large.join(joined, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    large = checkpoint(large.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
     more = _verified(split_join(checkpoint(_blocks(large)), sets, "node"))  # a node that leads many teams is a hot key
     found = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     found = nodes.select("node", "row", "n").join(found, "node", "left")
