@@ -1,12 +1,14 @@
 """Streaming ingest: frames, metadata and settled candidates from chunks that keep arriving.
 
 State lives in the stateful operator's store: what the frame scan hasn't finished, elapsed time, the open title, candidates
-that wait. The batch operators give the same rows over the same chunks.
+that wait. Records of several fields are kept as JSON, which other versions can read and add to. The batch operators give the
+same rows over the same chunks. A stream's end is a row of its own, as no timer can tell it from a pause.
 """
 
 from __future__ import annotations
 
-import pickle
+import base64
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,17 +42,20 @@ def demuxed(chunks: DataFrame, interval: int) -> DataFrame:
     """Audio and titles of streaming chunks with interleaved metadata."""
 
     def step(key, pdfs, state: GroupState):
-        demux = pickle.loads(state.get[0]) if state.exists else Demux(interval)
+        demux = Demux(interval)
+        if state.exists:
+            held = json.loads(state.get[0])
+            demux.left, demux.need, demux.clean, demux.block = held["left"], held["need"], held["clean"], base64.b64decode(held["block"])
         rows = []
         for seq, data in _in_order(pdfs)[["seq", "data"]].itertuples(index=False):
             audio, events = demux.feed(bytes(data))
             rows.append((key[0], seq, audio, [{"title": t, "audio_offset": o} for t, o in events]))
-        state.update((pickle.dumps(demux),))
+        state.update((json.dumps({"left": demux.left, "need": demux.need, "clean": demux.clean, "block": base64.b64encode(demux.block).decode()}),))
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "audio", "events"])
 
     on_workers()
     kind = dict(chunks.dtypes)["stream_id"]
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, seq long, audio binary, events array<struct<title: string, audio_offset: long>>", "demux binary", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, seq long, audio binary, events array<struct<title: string, audio_offset: long>>", "demux string", "append", GroupStateTimeout.NoTimeout)
 
 
 class TitleTracker:
@@ -86,17 +91,21 @@ class TitleTracker:
 
 
 def titles(events: DataFrame, threshold: float) -> DataFrame:
-    """stream_id, what, title, start_t, at_t of streaming events(stream_id, seq, title, t)."""
+    """stream_id, what, title, start_t, at_t of streaming events(stream_id, seq, title, t). An event without a title is the clock: how far the stream has come."""
 
     def step(key, pdfs, state: GroupState):
-        tracker = pickle.loads(state.get[0]) if state.exists else TitleTracker(threshold)
-        rows = [(key[0], *r) for title, t in _in_order(pdfs)[["title", "t"]].itertuples(index=False) for r in tracker.feed(title, float(t))]
-        state.update((pickle.dumps(tracker),))
+        tracker = TitleTracker(threshold)
+        if state.exists:
+            tracker.title, tracker.start, tracker.confirmed = json.loads(state.get[0])
+        rows = []
+        for title, t in _in_order(pdfs)[["title", "t"]].itertuples(index=False):
+            rows += [(key[0], *r) for r in (tracker.clock(float(t)) if title is None else tracker.feed(title, float(t)))]
+        state.update((json.dumps([tracker.title, tracker.start, tracker.confirmed]),))
         yield pd.DataFrame(rows, columns=["stream_id", "what", "title", "start_t", "at_t"])
 
     on_workers()
     kind = dict(events.dtypes)["stream_id"]
-    return events.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, what string, title string, start_t double, at_t double", "tracker binary", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, what string, title string, start_t double, at_t double", "tracker string", "append", GroupStateTimeout.NoTimeout)
 
 
 class SettleQueue:
@@ -118,19 +127,24 @@ class SettleQueue:
 
 
 def settled(rows: DataFrame, settle: float) -> DataFrame:
-    """Ready candidates of streaming rows(stream_id, seq, candidate_s or null, end_s or null)."""
+    """Ready candidates of streaming rows(stream_id, seq, candidate_s or null, end_s or null); an end_s of infinity ends the stream, and what waits is ready."""
 
     def step(key, pdfs, state: GroupState):
-        queue = pickle.loads(state.get[0]) if state.exists else SettleQueue(settle)
+        queue = SettleQueue(settle)
+        if state.exists:
+            queue.end, queue.waiting = json.loads(state.get[0])
         pdf = _in_order(pdfs)
         end = pdf["end_s"].max()
-        ready = queue.feed(pdf["candidate_s"].dropna().tolist(), None if pd.isna(end) else float(end))
-        state.update((pickle.dumps(queue),))
+        over = end == float("inf")
+        ready = queue.feed(pdf["candidate_s"].dropna().tolist(), None if over or pd.isna(end) else float(end))
+        if over:
+            ready += queue.flush()
+        state.update((json.dumps([queue.end, queue.waiting]),))
         yield pd.DataFrame({"stream_id": [key[0]] * len(ready), "candidate_s": ready})
 
     on_workers()
     kind = dict(rows.dtypes)["stream_id"]
-    return rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, candidate_s double", "queue binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, candidate_s double", "queue string", "append", GroupStateTimeout.NoTimeout)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str):
