@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -41,15 +42,35 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and where it is. Unlike a checkpoint's, its size is known to the planner, and does not grow from round to round of an iteration."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Bytes of the tables that a shuffle's rows come from, for which it takes a partition: up to the session's number, and beyond it.
 PART_BYTES, LARGE_BYTES = 256 << 10, 32 << 20
 MOST_PARTS = 20_000
 
 
+def _bytes(leaf) -> int:
+    """What the planner takes a leaf's size to be; of a table that joins made, this may have any number of digits."""
+    try:
+        return min(int(str(leaf.stats().sizeInBytes())), 1 << 62)
+    except ValueError:  # more digits than Python reads
+        return 1 << 62
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for a shuffle that moves whole rows of df: the session's number, fewer for small tables and more for very large ones. Nothing is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = sum(_bytes(leaves.apply(i)) for i in range(leaves.size()))
     asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     large = -(-size // LARGE_BYTES) if size < 1 << 56 else 0  # sizes beyond are guesses
     return max(min(asked, -(-size // PART_BYTES)), min(large, MOST_PARTS), 1)
@@ -62,12 +83,16 @@ HOT = 10_000
 def lookup(rows: DataFrame, values: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """rows joined with values, which has one row for each key and, in the column n, how many rows have it. `total` is the number of rows, or at least half of it.
 
-    Hot keys go by broadcast, at most 2 * HOT rows of values whatever the input's size, so that no key's rows gather in one task.
+    Hot keys are met in pieces, each with a copy of the value, so that no key's rows gather in one task. Which keys are hot
+    goes by broadcast: at most 2 * HOT rows of keys, whatever the input's size.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     is_hot = F.col(n) * HOT > total
-    hot, cold = values.where(is_hot).drop(n), values.where(~is_hot).drop(n)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+    copies = F.ceil(F.col(n) * HOT / max(1, total)).cast("int")
+    hot = F.broadcast(values.where(is_hot).select(*keys, copies.alias("__copies")))
+    left = rows.withColumn("__piece", F.xxhash64(*rows.columns)).join(hot, keys, "left").withColumn("__piece", F.pmod("__piece", F.coalesce("__copies", F.lit(1))).cast("int")).drop("__copies")
+    right = values.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.when(is_hot, copies - 1).otherwise(0)))).drop(n)
+    return left.join(right, [*keys, "__piece"]).drop("__piece")
 
 
 #: A key with more than one of so many rows is split, into pieces of about so many rows.

@@ -17,6 +17,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows that one range of keys holds, about.
 RANGE_ROWS = 2_000
+#: Ranges whose sizes are summed together.
+SPAN = 4096
 #: 15 hex digits of md5 are the key.
 KEY_BITS = 60
 
@@ -57,10 +59,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
     Null or empty texts have size 0 and nothing is taken of them. A null source is a source of its own. Repeated rows each
     count; rows that agree in doc_id and key are ordered by size, so what they take together doesn't depend on the run.
-    An empty table gives no rows. Reruns agree, as keys are hashes of seed and doc_id.
+    An empty table gives no rows. Reruns agree, as keys are hashes of seed and doc_id (without one, of the text).
     """
     size = size if size is not None else F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
-    key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"-{seed}"))), 1, KEY_BITS // 4), 16, 10).cast("long")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))  # rows without a doc_id spread by their texts
+    key = F.conv(F.substring(F.md5(F.concat(name, F.lit(f"-{seed}"))), 1, KEY_BITS // 4), 16, 10).cast("long")
     sized = checkpoint(docs.select("doc_id", "source", size.cast("long").alias("size"), key.alias("key")))  # texts are read and counted once
     by = targets(sized, weights, max_epochs)
     # ranges double with the rows of a source: a power of two keeps a key's range a shift
@@ -70,8 +73,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     rows = rows.withColumn("range", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("key") / F.pow(F.lit(2.0), KEY_BITS - F.col("bits"))).cast("long")))
     own = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("offset"))
+    # prefix sums over ranges in two levels, so that a source's ranges aren't all in one task
+    ranges = ranges.withColumn("span", F.floor(F.col("range") / SPAN))
+    ahead = lambda *by: Window.partitionBy("source", *by).orderBy("range" if by else "span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ranges.groupBy("source", "span").agg(F.sum("range_size").alias("span_size"))
+    spans = spans.select(F.col("source").alias("s"), F.col("span").alias("p"), F.coalesce(F.sum("span_size").over(ahead()), F.lit(0)).alias("before"))
+    inside = ranges.withColumn("in_span", F.coalesce(F.sum("range_size").over(ahead("span")), F.lit(0)))
+    ranges = inside.join(spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p"))).select(F.col("source").alias("s"), F.col("range").alias("r"), (F.col("before") + F.col("in_span")).alias("offset"))
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0))).join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")), "left")
     budget = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
@@ -85,20 +93,25 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     """The mix itself, with the columns of docs: a document once for each whole time that it is taken, and the head of a text where a budget ends within it (n_chars follows the text)."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
 
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    own = mark.__add__  # names that no column of docs has
+
     def named(size: Column) -> Column:
         parts = [F.col("doc_id"), F.col("source"), size]
         return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("")) for c in parts], *[c.isNull() for c in parts])
 
-    nth = lambda order: F.row_number().over(Window.partitionBy("__key").orderBy(order))
-    rows = docs.withColumn("__size", size).withColumn("__key", named(F.col("__size"))).withColumn("__nth", nth(F.col("text")))
-    taken = mix(docs, weights, max_epochs, seed).select(named(F.col("size")).alias("__key"), "taken")
-    taken = taken.withColumn("__m", nth(F.col("taken").desc())).where("taken > 0").select(F.col("__key").alias("__k"), "__m", F.col("taken").alias("__taken"))
-    rows = rows.join(taken, (F.col("__key") == F.col("__k")) & (F.col("__nth") == F.col("__m")))
-    rows = rows.withColumn("__whole", F.floor(F.col("__taken") / F.col("__size")).cast("int")).withColumn("__rest", (F.col("__taken") % F.col("__size")).cast("int"))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__whole") + (F.col("__rest") > 0).cast("int"))))
+    nth = lambda order: F.row_number().over(Window.partitionBy(own("key")).orderBy(order))
+    rows = docs.withColumn(own("size"), size).withColumn(own("key"), named(F.col(own("size")))).withColumn(own("nth"), nth(F.col("text")))
+    taken = mix(docs, weights, max_epochs, seed).select(named(F.col("size")).alias(own("key")), "taken")
+    taken = taken.withColumn(own("m"), nth(F.col("taken").desc())).where("taken > 0").select(F.col(own("key")).alias(own("k")), own("m"), F.col("taken").alias(own("taken")))
+    rows = rows.join(taken, (F.col(own("key")) == F.col(own("k"))) & (F.col(own("nth")) == F.col(own("m"))))
+    rows = rows.withColumn(own("whole"), F.floor(F.col(own("taken")) / F.col(own("size"))).cast("int")).withColumn(own("rest"), (F.col(own("taken")) % F.col(own("size"))).cast("int"))
+    rows = rows.withColumn(own("copy"), F.explode(F.sequence(F.lit(1), F.col(own("whole")) + (F.col(own("rest")) > 0).cast("int"))))
     blank = WORD.replace("[^", "[").rstrip("+")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"{blank}*{WORD}"), F.lit(0)), F.lit(1), F.col("__rest")), "")
-    rows = rows.withColumn("text", F.when(F.col("__copy") > F.col("__whole"), head).otherwise(F.col("text")))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"{blank}*{WORD}"), F.lit(0)), F.lit(1), F.col(own("rest"))), "")
+    rows = rows.withColumn("text", F.when(F.col(own("copy")) > F.col(own("whole")), head).otherwise(F.col("text")))
     return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows).select(*docs.columns)
 
 
@@ -107,7 +120,7 @@ MIX_SQL = """
 with sized as (
   select doc_id, source,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
-         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '-mix-1'), 1, 15) as bigint) as key
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) || '-mix-1'), 1, 15) as bigint) as key
   from {docs}
 ), by_source as (
   select source, cast(sum(size) as bigint) as source_size,

@@ -609,3 +609,12 @@ def test_toxicity_edges(spark):
     assert [p.predicted for p in out if p.doc_id == 12] == [1] and [p.predicted for p in out if p.doc_id == 13] == [0]
     none = toxicity.predictions(docs, labels.where("toxic = 0"))
     assert {p.predicted for p in none.collect()} == {0}
+
+
+def test_mixed_with_clashing_names_and_rows_without_id(spark):
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{j}" for j in range(i % 7 + 1)), "s", "x", 1, 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __key string, __size int, ___m int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and out.count() == 60
+    keys = {r.key for r in mixing.mix(docs).where("doc_id is null").collect()}
+    assert len(keys) == 7  # by text
