@@ -62,6 +62,12 @@ def numbered_stems(rows: DataFrame, stem: str, order: str) -> DataFrame:
     return rows.withColumn("name", F.when(n == 1, F.col(stem)).otherwise(F.concat_ws("-", F.col(stem), n.cast("string"))))
 
 
+def trace(contexts: DataFrame, keys: tuple[str, ...] = (BY, "k")) -> DataFrame:
+    """keys and record: each routing observation as one line of JSON, its fields in order of name."""
+    fields = sorted(c for c in contexts.columns if c not in keys)
+    return contexts.select(*keys, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("record"))
+
+
 def provenance(columns: list[Column]) -> Column:
     """A JSON record with sorted keys."""
     return F.to_json(F.struct(*columns))

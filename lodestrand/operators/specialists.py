@@ -166,6 +166,14 @@ def interstitial_geometry(contexts: DataFrame, selected: str = "selected_s", nam
     return x.withColumn(name, F.when(F.col("__d.kind") == "EXCLUSION", exclusion).otherwise(other)).drop("__h", "__g", "__w", "__cut", "__d", "__x")
 
 
+def conservative(decision: str) -> str:
+    """An interstitial's exclusion becomes a cut at the reference where only an island's region speaks for it: no fall to silence ends near its outgoing edge, no insert owns the context, the island has the roles' region and neither decay nor reset, and the reference is inside."""
+    silent = f"exists(outs, o -> o.floor_rms = 0 and o.floor_s < reference_s and abs(o.floor_s - {decision}.outgoing_end_s) <= 1.5D)"
+    own = "island.region is not null and island.region.l.hyp_id = roles.outgoing_id and island.region.r.hyp_id = roles.incoming_id and island.decay is null and island.reset is null"
+    guard = f"{decision}.kind = 'EXCLUSION' and not {silent} and not symmetric_insert and not asymmetric_insert and {own} and {decision}.outgoing_end_s < reference_s and reference_s < {decision}.incoming_start_s"
+    return f"if(coalesce({guard}, false), {CUT.format(t='reference_s')}, {decision})"
+
+
 def incoming_or_cut(contexts: DataFrame, selected: str) -> DataFrame:
     """contexts with __cut: a cut at the selected time, or an exclusion up to the earliest of two or more recoveries after it."""
     later = f"transform(filter(hyps, h -> {IS_SUPPORTED.format(h='h')} and h.recovery_s > {selected}), h -> h.recovery_s)"

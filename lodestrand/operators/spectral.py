@@ -61,6 +61,33 @@ def novelties(pcm: DataFrame, rate: int, side: float, step: float, by: str = BY)
     return _kernel(pcm, "time_s double, novelty double", lambda s: [(c / rate, K.directed_novelty(s[c - n : c], s[c : c + n], rate)) for c in range(n, len(s) - n + 1, hop)], by)
 
 
+def novelty_at(pcm: DataFrame, candidates: DataFrame, rate: int, side: float, by: str = BY) -> DataFrame:
+    """candidates(k, time_s: from the signal's start) with directed novelty; null where either side isn't whole. A stream's candidates go to its signal."""
+    n = round(side * rate)
+    on_workers()
+    times = candidates.groupBy(by).agg(F.collect_list(F.struct("k", "time_s")).alias("times"))
+    rows = pcm.join(times, by).select(by, "data", "times")
+    key, k = dict(pcm.dtypes)[by], dict(candidates.dtypes)["k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for stream, data, found in zip(*(c.to_pylist() for c in batch.columns)):
+                s = K.from_pcm(data or b"")
+                for t in found:
+                    c = round(t["time_s"] * rate)
+                    whole = c - n >= 0 and c + n <= len(s)
+                    out.append((stream, t["k"], t["time_s"], K.directed_novelty(s[c - n : c], s[c : c + n], rate) if whole else None))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, types)], [by, "k", "time_s", "novelty"])
+
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T._parse_datatype_string(f"{by} {key}, k {k}, time_s double, novelty double")
+    types = [f.type for f in to_arrow_schema(schema)]
+    return rows.mapInArrow(run, schema)
+
+
 def edge_evidence(features: DataFrame, horizons=(0.25, 0.5), by: str = BY) -> DataFrame:
     """by, idx, horizon_s, energy, spectral: change of mean RMS and Jensen-Shannon divergence of mean band shares between the horizon before each frame and from it on."""
     w = Window.partitionBy(by).orderBy("idx")

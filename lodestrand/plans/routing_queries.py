@@ -10,6 +10,7 @@ from lodestrand.operators import detect as D
 from lodestrand.operators import evidence as V
 from lodestrand.operators import islands as I
 from lodestrand.operators import hybrid as H
+from lodestrand.operators import output as O
 from lodestrand.operators import roles as R_
 from lodestrand.operators import routing as R
 from lodestrand.operators import specialists as P
@@ -141,10 +142,19 @@ def q83_specialists(spark, sf):
     x = _routed(spark, sf, 2.5).withColumn("selected_s", F.col("reference_s") - 0.75)
     x = checkpoint(R.hard_cut_boundary(checkpoint(P.insert_geometry(checkpoint(x), F.col("rise")))))
     x = x.withColumn("fade", F.expr(P.fade_geometry())).withColumn("boundary_s", F.coalesce(F.expr(P.terminal_handoff()), "boundary_s")).withColumn("cut", F.expr(P.CUT.format(t="boundary_s")))
-    x = P.interstitial_geometry(checkpoint(R_.interstitial(checkpoint(x))), "selected_s")
+    x = checkpoint(P.interstitial_geometry(checkpoint(R_.interstitial(checkpoint(x))), "selected_s"))
+    x = x.withColumn("interstitial", F.expr(P.conservative("interstitial")))
     return P.dispatched(x).where("decision is not null").select("stream_id", "k", "reference_s", F.col("kind").alias("route"), "decision.*")
 
 
+def q107_routing_trace(spark, sf):
+    """Each routing observation as a line of JSON, read again."""
+    names = ["symmetric_insert", "asymmetric_insert", "kind", "n_handoffs", "rise_at"]
+    lines = O.trace(_routed(spark, sf).select("stream_id", "k", *names))
+    fields = F.from_json("record", "kind string, n_handoffs int, rise_at double, symmetric_insert boolean")
+    return lines.select("stream_id", "k", fields.alias("r")).select("stream_id", "k", "r.*")
+
+
 def q61_specialist_geometry(spark, sf):
     x = _contexts(spark, sf).withColumn("selected_s", F.col("reference_s") - 1.25)
     return R.hard_cut_boundary(x).select("stream_id", "k", "reference_s", "selected_s", "boundary_s")
@@ -160,7 +170,7 @@ def q79_supported_exclusion(spark, sf):
     return P.unpacked(P.supported_exclusion(x, "selected_s"), "exclusion")
 
 
-QUERIES = {f.__name__: f for f in (q30_cluster, q31_confidence, q57_symmetric_regions, q58_asymmetric_regions, q59_fade_association, q60_route, q61_specialist_geometry, q80_acoustic_island, q81_transition_roles, q82_fade_geometry, q83_specialists, q78_insert_geometry, q79_supported_exclusion)}
+QUERIES = {f.__name__: f for f in (q30_cluster, q31_confidence, q57_symmetric_regions, q58_asymmetric_regions, q59_fade_association, q60_route, q61_specialist_geometry, q107_routing_trace, q80_acoustic_island, q81_transition_roles, q82_fade_geometry, q83_specialists, q78_insert_geometry, q79_supported_exclusion)}
 
 PROPOSALS_SQL = NOVELTY_SQL + ", " + MINIMA_SQL + """, ov as (select stream_id, median(rms) as overall from lv group by stream_id),
 pp as (select mi.stream_id, minimum_s as time_s, 'BASIN' as source, round(rms / greatest(overall, 1e-12), 6) as depth, null::double as strength, minimum_s - 0.5::double as start_s, minimum_s + 0.75::double as recovery_s from mi join ov using (stream_id) where rms <= 0.3::double * overall
@@ -227,6 +237,34 @@ EVIDENCE_SQL = (
 )
 ALL_SQL = FIXED_SQL + ", " + PROPOSALS_SQL + ", cx as (select ca.stream_id, k, candidate_s as ref, sf.* exclude (stream_id) from ca join sf on sf.stream_id = ca.stream_id and abs(time_s - candidate_s) <= 24)"
 
+ROUTE_SQL = (
+    ALL_SQL + ", " + EVIDENCE_SQL + ", " + BASINS_SQL_OF_LEVELS
+    + """, lb as (select rf.stream_id, rf.k, count(*) as n from rf join qb on qb.stream_id = rf.stream_id and rf.ref - c between 0.5 and 2.5 group by rf.stream_id, rf.k),
+    x as (select ev.*, coalesce(lb.n, 0) as n_basins, rise_at is not null as rise, of is not null and jf is not null as two_sided, coalesce(n_handoffs = 1 and oh = any_sup and jh = any_sup, false) as shared,
+      (select count(*) from gm where gm.stream_id = ev.stream_id and gm.k = ev.k and gm.start_idx = ev.of and gm.incoming_start_s = ev.js) as n_rec,
+      coalesce(of is not null and jf is null and (select count(*) > 0 and bool_and(incoming_established_s < ev.ref) from gm where gm.stream_id = ev.stream_id and gm.k = ev.k and gm.start_idx = ev.of), false) as stale from ev left join lb using (stream_id, k)),
+    ro as (select stream_id, k, ref as reference_s, symmetric_insert, asymmetric_insert, island_region, island, handoff_id is not null as floor_handoff, rise, rise_at, cast(n_handoffs as int) as n_handoffs, case
+      when symmetric_insert or asymmetric_insert then 'BOUNDED_INSERT' when island_region then 'INTERSTITIAL' when handoff_id is not null then 'FADE' when island then 'INTERSTITIAL'
+      when rise and n_basins > 0 and not stale and n_handoffs >= 2 then case when n_rec <> 1 or absorbed then 'INTERSTITIAL' when two_sided then 'FADE' else 'INTERSTITIAL' end
+      when rise and n_basins > 0 and not stale then 'FADE' when n_handoffs >= 2 then 'INTERSTITIAL' when floor_s is not null then 'FADE'
+      when local_complete and not rise and shared then 'HARD_CUT' else 'AMBIGUOUS' end as kind from x)"""
+)
+INSERT_SQL = """, y as (select rf.stream_id, rf.k, rf.ref, n_regions, g, p,
+      (select any_value(c) from cx c where c.stream_id = rf.stream_id and c.k = rf.k and c.time_s > g.time_s and c.time_s < g.r_t) as inner_,
+      (select count(*) from cx c where c.stream_id = rf.stream_id and c.k = rf.k and c.time_s > p.time_s and c.time_s < g.time_s) as n_mid, (select bool_and(c.n_basin = 0) from cx c where c.stream_id = rf.stream_id and c.k = rf.k and c.time_s > p.time_s and c.time_s < g.time_s) as plain_mid
+      from (select rf.*, n_regions, g, (select arg_max(c, c.time_s) from cx c where c.stream_id = rf.stream_id and c.k = rf.k and c.sup and c.time_s < g.time_s) as p from rf left join r1 using (stream_id, k)) rf),
+    sd as (select stream_id, k, ref, case
+      when g.i_n = 1 and inner_.n_basin = 0 and abs(inner_.time_s - ref) < abs(g.time_s - ref) and abs(inner_.time_s - ref) <= abs(g.r_t - ref) then {'kind': 'HARD_CUT', 'i': inner_.time_s, 'o': inner_.time_s}
+      when p is not null and n_mid > 0 and plain_mid and p.time_s < g.r_t then {'kind': 'EXCLUSION', 'i': g.r_t, 'o': p.time_s}
+      when least(g.time_s, g.recovery_s) < g.r_t then {'kind': 'EXCLUSION', 'i': g.r_t, 'o': least(g.time_s, g.recovery_s)} end as d from y where n_regions = 1),
+    o1 as (select stream_id, k, any_value(os) as a from os group by stream_id, k having count(*) = 1),
+    oo as (select o1.*, (select arg_max(c, c.time_s) from cx c where c.stream_id = o1.stream_id and c.k = o1.k and c.sup and c.time_s < a.time_s) as p, (select count(*) from rg where rg.stream_id = o1.stream_id and rg.k = o1.k and rg.hyp_id = a.hyp_id) as n_own, (select min(r_t) from rg where rg.stream_id = o1.stream_id and rg.k = o1.k and rg.hyp_id = a.hyp_id) as own_t,
+      (select any_value(c) from cx c where c.stream_id = o1.stream_id and c.k = o1.k and c.time_s = a.c_t and c.comp) as z from o1),
+    op as (select oo.*, coalesce((select bool_and(c.n_basin = 0) from cx c where c.stream_id = oo.stream_id and c.k = oo.k and c.time_s > p.time_s and c.time_s < a.time_s), true) as plain from oo),
+    ad as (select stream_id, k, a.ref as ref, case when n_own = 1 and p is not null and plain and p.time_s < own_t then {'kind': 'EXCLUSION', 'i': own_t, 'o': p.time_s}
+      when a.recovery_s < coalesce(z.recovery_s, z.time_s) then {'kind': 'EXCLUSION', 'i': coalesce(z.recovery_s, z.time_s), 'o': a.recovery_s} end as d from op where not exists (select 1 from r1 where r1.stream_id = op.stream_id and r1.k = op.k and n_regions = 1))
+    select stream_id, k, ref as reference_s, d.kind as kind, d.i as incoming_start_s, d.o as outgoing_end_s from (select * from sd union all select * from ad) where d is not null"""
+
 SQL = {
     "q30_cluster": B.with_sql("pc", PROPOSALS_SQL + " select * from hy", recursive=True),
     "q31_confidence": B.with_sql("pc", PROPOSALS_SQL + " select stream_id, hyp_id, time_s, case when n_basin > 0 and n_structural > 0 and depth <= 0.06 and novelty >= 0.35 and novelty - depth >= 0.15 then 'HIGH' else 'UNRESOLVED' end as confidence from hy", recursive=True),
@@ -276,21 +314,9 @@ SQL = {
     select stream_id, k, reference_s, d.kind as kind, d.i as incoming_start_s, d.o as outgoing_end_s from d where d is not null""",
         recursive=True,
     ),
-    "q60_route": B.with_sql(
-        "fr pc",
-        ALL_SQL + ", " + EVIDENCE_SQL
-        + ", " + BASINS_SQL_OF_LEVELS
-        + """, lb as (select rf.stream_id, rf.k, count(*) as n from rf join qb on qb.stream_id = rf.stream_id and rf.ref - c between 0.5 and 2.5 group by rf.stream_id, rf.k),
-    x as (select ev.*, coalesce(lb.n, 0) as n_basins, rise_at is not null as rise, of is not null and jf is not null as two_sided, coalesce(n_handoffs = 1 and oh = any_sup and jh = any_sup, false) as shared,
-      (select count(*) from gm where gm.stream_id = ev.stream_id and gm.k = ev.k and gm.start_idx = ev.of and gm.incoming_start_s = ev.js) as n_rec,
-      coalesce(of is not null and jf is null and (select count(*) > 0 and bool_and(incoming_established_s < ev.ref) from gm where gm.stream_id = ev.stream_id and gm.k = ev.k and gm.start_idx = ev.of), false) as stale from ev left join lb using (stream_id, k))
-    select stream_id, k, ref as reference_s, symmetric_insert, asymmetric_insert, island_region, island, handoff_id is not null as floor_handoff, rise, cast(n_handoffs as int) as n_handoffs, case
-      when symmetric_insert or asymmetric_insert then 'BOUNDED_INSERT' when island_region then 'INTERSTITIAL' when handoff_id is not null then 'FADE' when island then 'INTERSTITIAL'
-      when rise and n_basins > 0 and not stale and n_handoffs >= 2 then case when n_rec <> 1 or absorbed then 'INTERSTITIAL' when two_sided then 'FADE' else 'INTERSTITIAL' end
-      when rise and n_basins > 0 and not stale then 'FADE' when n_handoffs >= 2 then 'INTERSTITIAL' when floor_s is not null then 'FADE'
-      when local_complete and not rise and shared then 'HARD_CUT' else 'AMBIGUOUS' end as kind from x""",
-        recursive=True,
-    ),
+    "q60_route": B.with_sql("fr pc", ROUTE_SQL + " select stream_id, k, reference_s, symmetric_insert, asymmetric_insert, island_region, island, floor_handoff, rise, n_handoffs, kind from ro", recursive=True),
+    "q107_routing_trace": B.with_sql("fr pc", ROUTE_SQL + " select stream_id, k, kind, n_handoffs, rise_at, symmetric_insert from ro", recursive=True),
+    "q78_insert_geometry": B.with_sql("fr pc", (ALL_SQL + ", " + EVIDENCE_SQL).replace("10.0::double", "2.5::double").replace("last_end_s / 10", "last_end_s / 2.5") + INSERT_SQL, recursive=True),
     "q61_specialist_geometry": B.with_sql(
         "fr pc",
         ALL_SQL

@@ -13,7 +13,7 @@ from lodestrand.sources import bindings as B
 from lodestrand.sources import boundaries as J
 from lodestrand.sources import framing as Fr
 
-from .timeline_queries import ALIGN_SQL, ENDS_SQL, FIXED_SQL, MATCH_SQL, OFFSETS_SQL, _ends, _fixed
+from .timeline_queries import MINIMA_SQL, ALIGN_SQL, ENDS_SQL, FIXED_SQL, MATCH_SQL, OFFSETS_SQL, _ends, _fixed
 
 LASTING = 21600
 SHORT = 10800
@@ -199,6 +199,19 @@ SQL = {
     ),
     "q55_coverage_ledger": B.with_sql("rg", LEDGER_SQL + " select stream_id, seq, start_offset, end_offset, covered, status from lg"),
     "q56_terminal_record": B.with_sql("rg", LEDGER_SQL + ", " + TERMINAL_SQL + " select * from tm"),
+    "q52_shadow_cadence": B.with_sql(
+        "fr",
+        MINIMA_SQL
+        + """, en as (select stream_id, time_s + samples / sample_rate as e from fr),
+    ob as (select stream_id, min(e) as e from en group by stream_id
+      union all select o.stream_id, (select min(x.e) from en x where x.stream_id = o.stream_id and x.e - o.e >= 5) from ob o where exists (select 1 from en x where x.stream_id = o.stream_id and x.e - o.e >= 5)),
+    tm as (select mi.stream_id, minimum_s as t, (select min(o.e) from ob o where o.stream_id = mi.stream_id and greatest(0, o.e - 3) >= minimum_s) as e from mi),
+    ok as (select * from tm where t > 0 and t - greatest(0, e - 120) >= 2 and e - t >= 2),
+    gr as (select stream_id, min(t) as t from ok group by stream_id
+      union all select g.stream_id, (select min(o.t) from ok o where o.stream_id = g.stream_id and o.t - g.t > 3) from gr g where exists (select 1 from ok o where o.stream_id = g.stream_id and o.t - g.t > 3))
+    select ok.stream_id, ok.t as time_s, e as reported_at_s from gr join ok on ok.stream_id = gr.stream_id and ok.t = gr.t""",
+        recursive=True,
+    ),
     "q62_title_normalise": "with " + TITLE_SQL + " select doc_id, trim(regexp_replace(replace(lower(strip_accents(title)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) as normal from tt",
     "q63_safe_stem": "with " + TITLE_SQL + ", " + STEM_SQL + " select doc_id, stem from st",
     "q64_collision_suffix": "with " + TITLE_SQL + ", " + STEM_SQL + " select doc_id, stem, stem || case when n > 1 then '-' || n else '' end as name from (select *, row_number() over (partition by stem order by doc_id) as n from st)",

@@ -9,12 +9,13 @@ import threading
 
 import pytest
 from lodestrand import __main__ as cli
-from lodestrand import api, extend, publish
+from lodestrand import api, extend, publish, radio
 from lodestrand.operators import output as O
 from lodestrand.operators import spans as S
 from lodestrand.operators import tracks as K
 from lodestrand.sources import framing as Fr
 from lodestrand.sources import live, replay
+from lodestrand.sources import spool as sp
 from lodestrand.streaming import session as Se
 
 from .test_engine import FRAMES, levels, mp3
@@ -143,7 +144,7 @@ def test_http_stream(spark, tmp_path):
 
 
 def interleaved(interval=500, n=12):
-    audio, out, at = b"".join(mp3(i) for i in range(n)), b"", 0
+    audio, out = b"".join(mp3(i % 256) for i in range(n)), b""
     for i, a in enumerate(range(0, len(audio), interval)):
         part = audio[a : a + interval]
         out += part
@@ -274,3 +275,35 @@ def test_spool_folds(spark):
     assert O.ledger(spark.createDataFrame([(1, 1, 0, 5)], "stream_id long, seq long, start_offset long, end_offset long")).first().status == "OK"
     t = spark.createDataFrame([(1, 0, 10, 10), (1, 1, 5, 20), (1, 2, 30, 25)], "stream_id long, n long, outgoing_end long, incoming_start long")
     assert [r.n for r in K.written(t).collect()] == [0, 2]
+
+
+def test_spool_on_a_disk(tmp_path):
+    folder = str(tmp_path / "s")
+    spool = sp.Spool(folder, 100, most=1000, reserve=0)
+    data = bytes(i % 251 for i in range(650))
+    assert spool.append(data[:333]) == (0, 333) and spool.append(data[333:], at=333) == (333, 650)
+    assert b"".join(spool.read(95, 512)) == data[95:512] and len(sp.inventory(folder)) == 7
+    with pytest.raises(ValueError):
+        spool.append(b"x", at=700)
+    with pytest.raises(OSError):
+        spool.append(b"x" * 400)
+    spool.discard_before(250)
+    assert len(sp.inventory(folder)) == 5 and b"".join(spool.read(250, 310)) == data[250:310]
+    with pytest.raises(ValueError):
+        list(spool.read(249, 260))
+    with pytest.raises(FileExistsError):
+        sp.Spool(folder, 100)
+    with pytest.raises(OSError):
+        sp.Spool(str(tmp_path / "t"), 100, reserve=1 << 60).append(b"x")
+
+
+def test_radio_session_and_its_replay(spark, tmp_path):
+    data, n = interleaved(2000, 400), 997
+    capture = replay.Capture(str(tmp_path / "c"), "mp3", 2000)
+    answer = radio.run([data[i : i + n] for i in range(0, len(data), n)], "mp3", 2000, str(tmp_path / "o"), 0.2, 0.5, capture, spool_size=4096)
+    audio = b"".join(mp3(i % 256) for i in range(400))
+    assert len(answer["tracks"]) > 5 and answer["tracks"][0]["title"] == "T0"
+    got = b"".join(open(t["path"], "rb").read() for t in [*answer["tracks"], answer["tail"]])
+    assert got == audio and answer["tail"]["end_offset"] == len(audio)
+    again = radio.replayed(spark, str(tmp_path / "c"))
+    assert again["equal"] and again["captured"] > 10
