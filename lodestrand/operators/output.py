@@ -56,10 +56,14 @@ def terminal(ledger_: DataFrame, by: str = BY) -> DataFrame:
     )
 
 
-def numbered_stems(rows: DataFrame, stem: str, order: str) -> DataFrame:
-    """rows with name: the stem, and -2, -3 ... for those that follow with the same stem."""
-    n = F.row_number().over(Window.partitionBy(stem).orderBy(order))
-    return rows.withColumn("name", F.when(n == 1, F.col(stem)).otherwise(F.concat_ws("-", F.col(stem), n.cast("string"))))
+def numbered_stems(rows: DataFrame, stem: str, order: str, width: int = 4096) -> DataFrame:
+    """rows with name: the stem, and -2, -3 ... for those that follow with the same stem, by a whole number `order`. A stem that many share is numbered in ranges of the order, so that it spreads over tasks."""
+    x = rows.withColumn("__b", F.floor(F.col(order) / width))
+    w = Window.partitionBy(stem).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = x.groupBy(stem, "__b").agg(F.count(F.lit(1)).alias("__c")).withColumn("__ahead", F.coalesce(F.sum("__c").over(w), F.lit(0))).drop("__c")
+    x = x.withColumn("__n", F.row_number().over(Window.partitionBy(stem, "__b").orderBy(order))).join(ahead, [stem, "__b"])
+    n = F.col("__n") + F.col("__ahead")
+    return x.withColumn("name", F.when(n == 1, F.col(stem)).otherwise(F.concat_ws("-", F.col(stem), n.cast("string")))).select(*rows.columns, "name")
 
 
 def trace(contexts: DataFrame, keys: tuple[str, ...] = (BY, "k")) -> DataFrame:

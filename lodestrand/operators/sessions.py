@@ -12,29 +12,28 @@ from .detect import fold
 BY = "stream_id"
 
 
-def islands(events: DataFrame, by: str = BY) -> DataFrame:
-    """by, island, title, start_seq, start_t, and next_t (the start of the next title; null while open), with the events' times."""
+def islands(events: DataFrame, threshold: int, by: str = BY) -> DataFrame:
+    """by, island, title, start_seq, start_t, seen_t (its first event that comes `threshold` after the start; null without), and next_t (the start of the next title; null while open)."""
     w = Window.partitionBy(by).orderBy("seq")
     x = events.withColumn("new", F.when(F.lag("title").over(w).eqNullSafe(F.col("title")), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    x = x.groupBy(by, "island").agg(F.min_by("title", "seq").alias("title"), F.min("seq").alias("start_seq"), F.min_by("t", "seq").alias("start_t"), F.array_sort(F.collect_list("t")).alias("times"))
+    x = x.withColumn("start_t", F.last(F.when(F.col("new") == 1, F.col("t")), ignorenulls=True).over(w))
+    x = x.groupBy(by, "island").agg(F.min_by("title", "seq").alias("title"), F.min("seq").alias("start_seq"), F.min("start_t").alias("start_t"), F.min(F.when(F.col("t") - F.col("start_t") >= threshold, F.col("t"))).alias("seen_t"))
     return x.withColumn("next_t", F.lead("start_t").over(Window.partitionBy(by).orderBy("island")))
 
 
 def lifetimes(events: DataFrame, threshold: int, by: str = BY) -> DataFrame:
     """A decision for each title that ended: HARD_CUT if it lasted or was confirmed, else NO_BOUNDARY; confirmed_t: the first event, or the end, at which it had lasted long enough."""
-    x = islands(events, by).where("next_t is not null")
-    seen = F.array_min(F.filter(F.array_append("times", F.col("next_t")), lambda t: t - F.col("start_t") >= threshold))
+    x = islands(events, threshold, by).where("next_t is not null")
     lifetime = F.col("next_t") - F.col("start_t")
+    seen = F.coalesce("seen_t", F.when(lifetime >= threshold, F.col("next_t")))
     return x.select(by, F.col("island").cast("long").alias("island"), "title", "start_seq", "start_t", lifetime.alias("lifetime"), F.when(lifetime >= threshold, "HARD_CUT").otherwise("NO_BOUNDARY").alias("kind"), seen.alias("confirmed_t"))
 
 
 def confirmed_by_clock(events: DataFrame, threshold: int, idle: int, by: str = BY) -> DataFrame:
     """The open title of each stream, if the stream (idle seconds past its last event) has outlasted the threshold and no event confirmed it."""
-    x = islands(events, by)
     last = events.groupBy(by).agg((F.max("t") + idle).alias("stream_end"))
-    x = x.where("next_t is null").join(last, by)
-    repeated = F.exists(F.col("times"), lambda t: t - F.col("start_t") >= threshold)
-    return x.where((F.col("stream_end") - F.col("start_t") >= threshold) & ~repeated).select(by, "title", "start_t", F.col("stream_end").alias("confirmed_t"))
+    x = islands(events, threshold, by).where("next_t is null and seen_t is null").join(last, by)
+    return x.where(F.col("stream_end") - F.col("start_t") >= threshold).select(by, "title", "start_t", F.col("stream_end").alias("confirmed_t"))
 
 
 def exclusions(decisions: DataFrame, longest: int, positive: tuple[str, ...], negative: tuple[str, ...], by: str = BY) -> DataFrame:
