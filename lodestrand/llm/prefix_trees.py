@@ -75,8 +75,9 @@ def maximal_repeats(s: Suffixes, open_: np.ndarray, unit: Unit):
 def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for each row of docs(doc_id, text).
 
-    Rows equal in doc_id and text are one document. Null texts have no words; texts under `window` words lose nothing; an
-    empty table gives no rows. Other columns are not read.
+    Rows equal in doc_id and text are one document, given out as often as they occur; no order decides, so there are no ties.
+    Null texts have no words; texts under `window` words lose nothing; texts of any length are read whole; an empty table
+    gives no rows. Other columns are not read.
     """
     unit = Unit(window, run, words=True)
     rows = marked(docs.select("doc_id", "text"), unit, False, maximal_repeats)
@@ -99,6 +100,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for each row of docs(doc_id, text): see `dedup` for nulls, repeated rows, empty and long texts and empty tables."""
     from pyspark.sql import functions as F
 
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

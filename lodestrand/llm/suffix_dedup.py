@@ -55,8 +55,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for each row of docs(doc_id, text).
 
     Earlier: a smaller doc_id (null is least; rows that share one are ordered by a hash of their texts), or an earlier start in
-    the same document. Rows equal in doc_id and text are one document. Null texts are empty; texts under `window` bytes
-    lose nothing; an empty table gives no rows. Other columns are not read.
+    the same document. Rows equal in doc_id and text are one document, given out as often as they occur. Null texts are empty;
+    texts under `window` bytes lose nothing; texts of any length are read whole; an empty table gives no rows. Other columns are not read.
     """
     if run > window or window - run > 255:
         raise ValueError("window must be longer than run, by 255 at most")
@@ -80,6 +80,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text): see `dedup` for nulls, ties, repeated rows, empty and long texts and empty tables."""
     from pyspark.sql import functions as F
 
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
