@@ -94,10 +94,11 @@ def aligned(decisions: DataFrame, frames: DataFrame, by: str = "stream_id") -> D
     with null offsets; an exclusion whose edges meet is a HARD_CUT.
     """
     names = decisions.columns
-    whole = decisions.withColumn("__d", F.struct(*names)).withColumn("__id", F.monotonically_increasing_id())
-    edges = whole.select(by, "__id", F.posexplode(F.array("incoming_start_s", "outgoing_end_s")).alias("__edge", "__at"))
-    edges = nearest(edges, frames, "__at", by=by).groupBy(by, "__id").agg(*[F.max(F.when(F.col("__edge") == i, F.col("hit.offset"))).alias(n) for i, n in enumerate(("__in", "__out"))])
-    out = whole.join(edges, [by, "__id"]).join(bounds(frames, by).select(by, "first_s", "last_end_s"), by)
+    edges = decisions.withColumn("__d", F.struct(*names)).select(by, "__d", F.posexplode(F.array("incoming_start_s", "outgoing_end_s")).alias("__edge", "__at"))
+    edge = lambda i, c: F.when(F.col("__edge") == i, c)
+    # both edges of a decision meet again by its values: a number that is dealt to rows needn't be the same in a plan that reads them twice
+    found = nearest(edges, frames, "__at", by=by).groupBy(by, "__d").agg(*[F.max(edge(i, F.col("hit.offset"))).alias(n) for i, n in enumerate(("__in", "__out"))], F.greatest(*[F.count(edge(i, F.lit(1))) for i in (0, 1)]).alias("__copies"))
+    out = found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select("__d.*", "__in", "__out").join(bounds(frames, by).select(by, "first_s", "last_end_s"), by)
     outside = F.lit(False)
     for t in ("incoming_start_s", "outgoing_end_s"):
         outside = outside | (F.col(t) < F.col("first_s")) | (F.col(t) > F.col("last_end_s"))
