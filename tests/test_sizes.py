@@ -44,7 +44,7 @@ def test_aligned_rows_in_any_order(spark):
     assert T.aligned(reordered(d), frames).where("k = 99").count() == 1
 
 
-@pytest.mark.parametrize("name", ["q01_resolve_default", "q107_routing_trace", "q31_confidence", "q53_range_plan", "q57_symmetric_regions", "q59_fade_association", "q61_specialist_geometry", "q79_supported_exclusion", "q30_cluster", "q54_segment_tail", "q58_asymmetric_regions", "q60_route", "q78_insert_geometry"])
+@pytest.mark.parametrize("name", ["q01_resolve_default", "q107_routing_trace", "q31_confidence", "q53_range_plan", "q57_symmetric_regions", "q59_fade_association", "q61_specialist_geometry", "q79_supported_exclusion", "q30_cluster", "q54_segment_tail", "q58_asymmetric_regions", "q60_route", "q78_insert_geometry", "q80_acoustic_island"])
 def test_dealt(dealt, duck, name):  # noqa: F811
     found = duck.sql(catalogue.oracle_sql()[name])
     out = catalogue.queries()[name](dealt, TABLES)
