@@ -32,7 +32,7 @@ SHARE = 0.001
 #: Distinct words that a text's length is taken to have besides its own, so that very short texts say little.
 SPARE = 20
 THRESHOLD = 0.7
-#: Bytes of a word that the models look at; the end of a shorter word is a letter of its own.
+#: Bytes of a word that the models look at; the end of a shorter word is a letter of its own. Longer words are cut into pieces that are words themselves.
 LETTERS = 16
 ALPHABET = 256
 #: Words are runs of ASCII letters and digits and of all bytes beyond ASCII; A-Z are lower-cased.
@@ -41,10 +41,38 @@ LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 END = 0x20
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of the distinct words of all rows (LETTERS + 1 columns, 0 after the end) and their lengths with the end; and of each row and word that it holds, the row and the word's number."""
+def _cuts() -> np.ndarray:
+    """Whether a long word is cut behind two bytes: after half of the characters beyond ASCII, a quarter of the others."""
+    pair = np.arange(1 << 16)
+    return mix(pair.astype(U64) + U64(BASES[1])) & np.where(pair & 0x80, U64(1), U64(3)) == 0
+
+
+CUTS = _cuts()
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as words_of gives them, those of more than LETTERS bytes in pieces that cover them: cut where the two bytes before say so, so that a passage is cut alike wherever it stands, and where a piece would be longer."""
+    long = np.flatnonzero(ends - starts > LETTERS)
+    if not len(long):
+        return starts, ends, first
+    at = np.flatnonzero(CUTS[data[:-2].astype(np.uint16) << 8 | data[1:-1]] & (data[2:] & 0xC0 != 0x80)) + 2
+    own = long[np.maximum(np.searchsorted(starts[long], at, side="right") - 1, 0)]
+    at = at[(at >= starts[own] + 2) & (at < ends[own])]
+    begins = np.sort(np.concatenate((starts, at)))
+    word = np.searchsorted(starts, begins, side="right") - 1
+    stops = np.minimum(np.append(begins[1:], ends[-1]), ends[word])
+    n = -(-(stops - begins) // LETTERS)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begins, stops, word = np.repeat(begins, n) + nth * LETTERS, np.repeat(stops, n), np.repeat(word, n)
+    return begins, np.minimum(begins + LETTERS, stops), np.searchsorted(word, first)
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of the distinct words of all rows (LETTERS + 1 columns, 0 after the end) and their lengths with the end; and of each row and word that it holds, the row and the word's number. `whole`: of long words all pieces; else their first letters."""
     data = LOWER[data]
     starts, ends, first = words_of(data, offsets, BLANK)
+    if whole:
+        starts, ends, first = pieces(data, starts, ends, first)
     _, sample, word = np.unique(word_values(data, starts, ends, BASES[0]), return_index=True, return_inverse=True)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     held = np.unique(row * max(1, len(sample)) + word.ravel())
@@ -89,7 +117,7 @@ class Model:
 
     def ratios(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The ratio of each row's mixture to the ordinary model, by distinct words; 0 for rows without words."""
-        letters, size, row, word = distinct_words(data, offsets)
+        letters, size, row, word = distinct_words(data, offsets, True)
         n = len(offsets) - 1
         if not len(letters) or not self.known:
             return np.zeros(n)
@@ -171,7 +199,7 @@ def word_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     def run(batches) -> Iterator[dict]:
         for batch in batches:
             for piece in slices(batch):
-                letters, size, row, word = distinct_words(*utf8(piece.column(0)))
+                letters, size, row, word = distinct_words(*utf8(piece.column(0)), True)
                 toxic = piece.column(1).to_numpy()[row]
                 n = np.stack([np.bincount(word[toxic == c], minlength=len(letters)) for c in (0, 1)])
                 raw = letters.tobytes()
