@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import bpe, mixing, pii, quality, simhash
 from lodestrand.llm.common import checkpoint, shared_folder, table
-from lodestrand.llm.queries import good_documents, tokenizer
+from lodestrand.llm.queries import good_ids, tokenizer
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and short texts go, as they fail the base rules; very long ones are read whole; repeated rows go or stay
     alike; an empty table gives none. All columns pass.
     """
-    return quality.kept(docs, quality.fit(good_documents(spark, sf_dir)))
+    return quality.kept(docs, quality.fit(docs, good_ids(spark, sf_dir)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

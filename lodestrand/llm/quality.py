@@ -8,21 +8,22 @@ text is rejected if over half of its chunks lie outside.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, per_text
+from .common import WORD, checkpoint, per_text
 
 CHUNK_BYTES = 4096
 LEVEL = 3
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
-#: Labelled rows that a fit of the bands reads at most, and the share of good texts that it may put outside a limit.
-FIT_ROWS = 4000
+#: The share of good texts that a fit of the bands may put outside a limit.
 FIT_TAIL = 0.004
 FIT_MARGIN = 0.02
 FIT_LEAST = 40
@@ -113,20 +114,53 @@ def kept(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     return measure(docs.toDF(*(f"c{i}" for i in range(len(names)))), bands, tuple(f"c{i}" for i in range(len(names))), f"c{names.index('text')}").where("kept").select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
-def fit(good: DataFrame, rows: int = FIT_ROWS, tail: float = FIT_TAIL, margin: float = FIT_MARGIN) -> Bands:
-    """Bands around the ratios of `good`(doc_id, text), texts known to be good: at most `rows` of them, by a hash of doc_id.
+def quantiles(values: DataFrame, shares: tuple[float, ...], steps: int = 10_000) -> dict[int, tuple[int, list[float]]]:
+    """Of values(place int, ratio), for each place how many there are, and the exact quantiles (linear between neighbours).
 
-    A length with fewer than FIT_LEAST texts keeps the default limits. Limits stand `margin` beyond the quantiles `tail` and 1 - tail.
+    Counts of ratios by steps of 1 / `steps` tell in which steps the rows in question stand, and only these steps' ratios
+    reach the driver, each distinct one once.
     """
-    import numpy as np
+    stepped = values.withColumn("step", F.floor(F.col("ratio") * steps))
+    counted: dict[int, list] = {}
+    for r in stepped.groupBy("place", "step").count().orderBy("place", "step").collect():
+        counted.setdefault(r.place, []).append((r.step, r["count"]))
+    wanted, ranks = set(), {}
+    for place, found in counted.items():
+        ends = np.cumsum([n for _, n in found])
+        at = [(int(ends[-1]) - 1) * share for share in shares]
+        ranks[place] = (found, ends, at)
+        wanted |= {(place, found[int(np.searchsorted(ends, k, side="right"))][0]) for x in at for k in (math.floor(x), math.ceil(x))}
+    if not wanted:
+        return {}
+    few = values.sparkSession.createDataFrame(sorted(wanted), "place int, step long")
+    exact: dict[tuple, list] = {}
+    for r in stepped.join(F.broadcast(few), ["place", "step"]).groupBy("place", "step", "ratio").count().orderBy("place", "step", "ratio").collect():
+        exact.setdefault((r.place, r.step), []).append((r.ratio, r["count"]))
+    out = {}
+    for place, (found, ends, at) in ranks.items():
+        def ranked(k: int) -> float:
+            i = int(np.searchsorted(ends, k, side="right"))
+            ratios, n = zip(*exact[place, found[i][0]])
+            return ratios[int(np.searchsorted(np.cumsum(n), k - (int(ends[i - 1]) if i else 0), side="right"))]
+
+        out[place] = (int(ends[-1]), [ranked(math.floor(x)) + (ranked(math.ceil(x)) - ranked(math.floor(x))) * (x - math.floor(x)) for x in at])
+    return out
+
+
+def fit(good: DataFrame, ids: DataFrame | None = None, tail: float = FIT_TAIL, margin: float = FIT_MARGIN) -> Bands:
+    """Bands around the ratios of all of `good`(doc_id, text), texts known to be good; with `ids`(doc_id), of those whose doc_id is there, which moves no text, as they are told apart by then.
 
+    A length with fewer than FIT_LEAST texts keeps the default limits. Limits stand `margin` beyond the quantiles `tail` and 1 - tail.
+    """
     default = Bands()
-    some = good.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = measure(some.select("doc_id", "text", F.octet_length("text").alias("n_bytes")), keep=("doc_id", "n_bytes"))
-    sample = found.where(~F.col("base_failed")).select("n_bytes", "ratio").toPandas()
-    place = np.searchsorted(default.below, sample["n_bytes"].to_numpy(), side="right")
+    found = measure(good.where(F.col("text").isNotNull()).select("doc_id", "text", F.octet_length("text").alias("n_bytes")), keep=("doc_id", "n_bytes")).where(~F.col("base_failed"))
+    if ids is not None:
+        found = found.select("doc_id", "n_bytes", "ratio").join(ids, "doc_id", "left_semi")
+    place = sum((F.col("n_bytes") >= n).cast("int") for n in default.below)
+    values = checkpoint(found.select(place.alias("place"), "ratio"))  # two numbers a row
+    own = quantiles(values, (tail, 1 - tail))
     limits = []
     for i, (low, high) in enumerate(default.limits):
-        own = sample["ratio"].to_numpy()[place == i]
-        limits.append((low, high) if len(own) < FIT_LEAST else (max(low, float(np.quantile(own, tail)) - margin), min(high, max(0.7, float(np.quantile(own, 1 - tail)) + 5 * margin))))
+        n, ends = own.get(i, (0, ()))
+        limits.append((low, high) if n < FIT_LEAST else (max(low, ends[0] - margin), min(high, max(0.7, ends[1] + 5 * margin))))
     return Bands(limits=tuple(limits))

@@ -53,14 +53,18 @@ def op10_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trees.digests(table(spark, sf_dir, "documents"))
 
 
+def good_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+
+
 def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id").distinct()
-    labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * quality.FIT_ROWS)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left_semi")  # of 2 * FIT_ROWS ids at most
+    """doc_id, text of all documents that `labels` calls good."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(good_ids(spark, sf_dir), "doc_id", "left_semi")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents"), quality.fit(good_documents(spark, sf_dir))).select(*BASE_COLUMNS)
+    docs = table(spark, sf_dir, "documents")
+    return quality.measure(docs, quality.fit(docs, good_ids(spark, sf_dir))).select(*BASE_COLUMNS)
 
 
 def queries() -> dict:
